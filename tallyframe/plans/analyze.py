@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import session
-from tallyframe.operators import decompose, detect, monthly, periods
-from tallyframe.schema import KEYS
+from tallyframe.operators import answers, cards, decompose, detect, gate, monthly, packets, periods, readiness, summary
+from tallyframe.schema import KEYS, OWNERSHIP_DIMENSIONS, PACKET_V1
 
 
 class Analysis:
@@ -84,3 +84,101 @@ class Analysis:
             full.join(self.history, [*KEYS, "evidence_id"], "left")
             .join(self.refs, [*KEYS, "evidence_id"], "left")
         )
+
+    # ---- scoring, packets, decisions ---------------------------------------------------------------
+
+    @cached_property
+    def period(self) -> DataFrame:
+        return periods.covered_period(self.coverage)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        """Issues found while parsing (if given) and those the months raise."""
+        raised = periods.period_issues(self.coverage)
+        return raised if self._issues is None else raised.unionByName(self._issues, allowMissingColumns=True)
+
+    @cached_property
+    def codes(self) -> DataFrame:
+        return readiness.issue_codes(self.issues)
+
+    @cached_property
+    def readiness(self) -> DataFrame:
+        return readiness.readiness(self.profile, self.codes, self.focus, self.unallocated)
+
+    @cached_property
+    def context(self) -> DataFrame:
+        """What every packet of an export says about the whole export; one row per export."""
+        return (
+            self.profile.select(*KEYS, "currency", "total_cost", "dimensions_available")
+            .join(self.focus.select(*KEYS, F.col("baseline_month").alias("focus_baseline"),
+                                    F.col("current_month").alias("focus_month"), "baseline_total",
+                                    F.col("current_total").alias("focus_total")), KEYS)
+            .join(self.period.select(*KEYS, "period_start", "period_end"), KEYS)
+            .join(monthly.covered_spend(self.focus), KEYS)
+            .join(self.readiness.select(*KEYS, F.col("score").alias("readiness_score")), KEYS)
+            .join(self.codes, KEYS, "left")
+        )
+
+    def packets(self, version: str = PACKET_V1) -> DataFrame:
+        return packets.packets(self.findings, self.moves, self.context, version)
+
+    def safe_labels(self) -> DataFrame:
+        return packets.safe_labels(self.findings, self.moves, with_components=True)
+
+    def with_answers(self, calls: DataFrame | None = None, permission: DataFrame | None = None,
+                     version: str = PACKET_V1) -> DataFrame:
+        """Findings with packet hash, the valid stored answer they may use, or why there is none.
+
+        `permission` has one row per export with `unavailable_reason` (NULL = answers may be used).
+        """
+        packed = self.packets(version).select(*KEYS, "evidence_id", "packet_sha256", "packet_version")
+        base = self.findings.join(packed, [*KEYS, "evidence_id"])
+        allowed = (permission.select(*KEYS, F.col("unavailable_reason").alias("_blocked"))
+                   if permission is not None else
+                   self.profile.select(*KEYS, F.lit("disabled" if calls is None else None).cast("string").alias("_blocked")))
+        base = base.join(allowed, KEYS, "left")
+        if calls is None:
+            none = F.lit(None).cast(_ANSWER_STRUCT)
+            return base.withColumn("answer", none).withColumnRenamed("_blocked", "unavailable_reason")
+        latest = answers.validate_answers(answers.latest_answers(calls)).where("valid").select(
+            "tenant_id", "packet_sha256", F.col("answer").alias("_answer"))
+        return (
+            base.join(latest, ["tenant_id", "packet_sha256"], "left")
+            .withColumn("answer", F.when(F.col("_blocked").isNull(), F.col("_answer")))
+            .withColumn("unavailable_reason", F.coalesce(
+                F.col("_blocked"), F.when(F.col("_answer").isNull(), "retries_exhausted")))
+            .drop("_answer", "_blocked")
+        )
+
+    def decide(self, answered: DataFrame, low: float = 0.5, margin: float = 0.3) -> DataFrame:
+        """Decisions and cards for findings that carry `answer` and `unavailable_reason`."""
+        about = self.profile.select(*KEYS, "currency", F.arrays_overlap(
+            "dimensions_available", F.array(*map(F.lit, OWNERSHIP_DIMENSIONS))).alias("ownership_visible"))
+        bill = self.focus.select(*KEYS, F.when(
+            F.col("has_pair"), F.col("current_total") - F.col("baseline_total")).alias("total_change"))
+        decided = gate.gate(answered, self.readiness, low, margin).join(about, KEYS).join(bill, KEYS)
+        merged = decided.withColumn("missing", gate.merge_missing(F.col("missing_evidence"), F.col("answer.primary_missing")))
+        return cards.cards(merged)
+
+    @cached_property
+    def top_items(self) -> DataFrame:
+        return monthly.top_items(self.series, self.coverage, self.focus, self.profile)
+
+    @cached_property
+    def largest_changes(self) -> DataFrame:
+        return detect.largest_changes(self.moves)
+
+    @cached_property
+    def impact(self) -> DataFrame:
+        return summary.investigation_impact(self.ranked, self.focus, self.profile)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return summary.run_summary(
+            self.profile, self.period, self.coverage, self.focus, self.thresholds, self.top_items,
+            self.largest_changes, self.unallocated, self.readiness, self.impact)
+
+
+_ANSWER_STRUCT = ("struct<category:string,category_confidence:double,category_probabilities:map<string,double>,"
+                  "owner:string,owner_confidence:double,urgency:string,risk:string,primary_missing:string,"
+                  "evidence_sufficient:double,needs_human_review:double,change_material:double>")

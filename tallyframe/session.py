@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a reused intermediate on reliable storage, so a lost executor costs one re-read."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a reused intermediate to the shared folder and read it back.
+
+    Lineage ends there, so a lost executor costs one re-read. A columnar table is preferred over an
+    RDD checkpoint: it is computed once, later steps read only the columns they need, and its size
+    on disk is known to the planner, which then broadcasts it only if it is small.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
