@@ -13,9 +13,6 @@ from tallyframe.schema import (
 WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 PLAIN_NUMBER = r"^[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?$"
-GROUPED_NUMBER = r"^[-+]?\d{1,3}(,\d{3})+(\.\d+)?$"
-DECIMAL_COMMA = r"^[-+]?\d+(,\d+)?$"
-ISO_DATE = r"^(\d{4})-(\d{2})(?:-(\d{2}))?(?:[T ][0-9:.+\-Z]*)?$"
 SLASH_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 HEADER_CURRENCY = r"\s*\(\s*([$€£¥]|[A-Z]{3})\s*\)\s*$"
 CURRENCY_SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
@@ -29,71 +26,83 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def _number(text: Column, decimal_comma: Column, target, limit) -> Column:
-    """struct(status, value) for already unwrapped number text."""
-    plain = (
-        F.when(decimal_comma & text.rlike(DECIMAL_COMMA), F.translate(text, ",", "."))
-        .when(text.rlike(GROUPED_NUMBER), F.translate(text, ",", ""))
-        .otherwise(text)
-    )
-    is_number = plain.rlike(PLAIN_NUMBER)
-    value = plain.try_cast(target)
-    # Text that is a number but does not fit the type is either far too large or far too small;
-    # the double decides which, and a tiny one rounds to the type's scale.
-    magnitude = F.abs(plain.try_cast("double"))
-    in_range = F.when(value.isNotNull(), F.abs(value) <= F.lit(limit).cast("decimal(38,0)")).otherwise(magnitude < 1)
-    status = (
-        F.when(~is_number, "invalid")
-        .when(F.coalesce(in_range, F.lit(False)), "ok")
-        .otherwise("out_of_range")
-    )
-    kept = F.when(is_number & in_range, F.coalesce(value, F.lit(0).cast(target)))
-    return F.struct(status.alias("status"), kept.cast(target).alias("value"))
+#: Stands for accounting parentheses while a number is being read. Accepted text holds no NUL.
+_WRAPPED = "\x00"
+_GROUP_COMMA = rf",(?<=^{_WRAPPED}?[-+]?\d{{1,3}}(?:,\d{{3}}){{0,40}},)(?=\d{{3}}(?:,\d{{3}})*(?:\.\d+)?$)"
+
+
+def _ungrouped(text: Column, decimal_comma: Column) -> Column:
+    """Decimal comma to point where that is the file's convention, then thousands separators away."""
+    pointed = F.when(decimal_comma, F.regexp_replace(text, rf"^({_WRAPPED}?[-+]?\d+),(\d+)$", "$1.$2")).otherwise(text)
+    return F.regexp_replace(pointed, _GROUP_COMMA, "")
+
+
+def _cell(text: Column, valid: str, target, limit) -> Column:
+    """struct(status, value) of normalised number text. Written so `text` is repeated few times."""
+    value = F.when(text.rlike(valid), F.translate(text, _WRAPPED, "").try_cast(target))
+    in_range = F.abs(value) <= F.lit(limit).cast("decimal(38,0)")
+    status = (F.when(text == "", "empty").when(~text.rlike(valid), "invalid")
+              .when(F.coalesce(in_range, F.lit(False)), "ok").otherwise("out_of_range"))
+    signed = F.when(text.startswith(_WRAPPED), -value).otherwise(value)
+    return F.struct(status.alias("status"), F.when(in_range, signed).cast(target).alias("value"))
+
+
+def _bool(c: Column | bool) -> Column:
+    return c if isinstance(c, Column) else F.lit(c)
+
+
+def money_text(raw: Column, decimal_comma: Column | bool = False) -> Column:
+    """A money cell brought to plain number text, accounting parentheses as a leading marker."""
+    marked = F.regexp_replace(strip(raw), r"(?s)^\((.*)\)$", f"{_WRAPPED}$1")
+    bare = F.regexp_replace(marked, rf"^({_WRAPPED}?)\s*([-+]?)[$€£¥]", "$1$2")
+    return _ungrouped(F.regexp_replace(strip(bare), rf"^({_WRAPPED}?)\s+", "$1"), _bool(decimal_comma))
+
+
+def money_cell(text: Column) -> Column:
+    """struct(status, value) of money text. A minus inside parentheses is not a number anyone meant."""
+    valid = rf"^(?:{_WRAPPED}(?!-[^eE]*[1-9]))?" + PLAIN_NUMBER.removeprefix("^")
+    return _cell(text, valid, COST, MAX_ABS_COST)
 
 
 def money(raw: Column, decimal_comma: Column | bool = False) -> Column:
-    """struct(status, value): ok / empty / invalid / out_of_range. Never coerces to zero."""
-    comma = decimal_comma if isinstance(decimal_comma, Column) else F.lit(decimal_comma)
-    s = strip(raw)
-    wrapped = s.rlike(r"(?s)^\(.*\)$") & (F.length(s) > 1)
-    inner = F.when(wrapped, strip(F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(s)
-    unsigned = strip(F.regexp_replace(inner, r"^([-+]?)[$€£¥]", "$1"))
-    parsed = _number(unsigned, comma, COST, MAX_ABS_COST)
-    value = parsed["value"]
-    # A minus inside accounting parentheses is not a number anyone meant.
-    status = (
-        F.when(s == "", "empty")
-        .when(wrapped & unsigned.startswith("-") & (parsed["status"] != "invalid")
-              & (F.coalesce(value, F.lit(-1)) != 0), "invalid")
-        .otherwise(parsed["status"])
-    )
-    signed = F.when(wrapped, -value).otherwise(value)
-    return F.struct(status.alias("status"), F.when(status == "ok", signed).cast(COST).alias("value"))
+    """struct(status, value): ok / empty / invalid / out_of_range. Never coerces to zero.
+
+    Accounting parentheses negate. One currency symbol may stand before the number or after its sign.
+    """
+    return money_cell(money_text(raw, decimal_comma))
+
+
+def quantity_text(raw: Column, decimal_comma: Column | bool = False) -> Column:
+    return _ungrouped(strip(raw), _bool(decimal_comma))
+
+
+def quantity_cell(text: Column) -> Column:
+    return _cell(text, PLAIN_NUMBER, QUANTITY, MAX_ABS_QUANTITY)
 
 
 def quantity(raw: Column, decimal_comma: Column | bool = False) -> Column:
     """As money, without currency signs or parentheses, and with headroom for byte-hours."""
-    comma = decimal_comma if isinstance(decimal_comma, Column) else F.lit(decimal_comma)
-    s = strip(raw)
-    parsed = _number(s, comma, QUANTITY, MAX_ABS_QUANTITY)
-    status = F.when(s == "", "empty").otherwise(parsed["status"])
-    return F.struct(status.alias("status"), F.when(status == "ok", parsed["value"]).alias("value"))
+    return quantity_cell(quantity_text(raw, decimal_comma))
+
+
+_DAY = r"^(?!0000)\d{4}-\d{2}-\d{2}$"
+
+
+def day_text(trimmed: Column, slash_order: Column | str = "mdy") -> Column:
+    """Date text as yyyy-MM-dd, or NULL where it has no known form. The plain form skips the rewriting."""
+    order = slash_order if isinstance(slash_order, Column) else F.lit(slash_order)
+    time = r"[T ][0-9:.+\-Z]*"
+    day = F.regexp_replace(trimmed, rf"^(\d{{4}}-\d{{2}}-\d{{2}}){time}$", "$1")
+    month = F.regexp_replace(day, rf"^(\d{{4}}-\d{{2}})(?:{time})?$", "$1-01")
+    padded = F.regexp_replace(F.regexp_replace(month, r"^(\d)/", "0$1/"), r"^(\d\d)/(\d)/", "$1/0$2/")
+    text = F.regexp_replace(padded, F.lit(r"^(\d\d)/(\d\d)/(\d{4})$"),
+                            F.when(order == "mdy", "$3-$1-$2").otherwise("$3-$2-$1"))
+    return F.when(trimmed.rlike(_DAY), trimmed).otherwise(F.nullif(F.regexp_extract(text, _DAY, 0), F.lit("")))
 
 
 def to_day(raw: Column, slash_order: Column | str = "mdy") -> Column:
     """ISO dates with optional day and time, slash dates in a known order; impossible ones are NULL."""
-    order = slash_order if isinstance(slash_order, Column) else F.lit(slash_order)
-    s = strip(raw)
-    day = F.regexp_extract(s, ISO_DATE, 3)
-    iso = F.concat_ws("-", F.regexp_extract(s, ISO_DATE, 1), F.regexp_extract(s, ISO_DATE, 2),
-                      F.when(day == "", "01").otherwise(day))
-    first, second = F.regexp_extract(s, SLASH_DATE, 1), F.regexp_extract(s, SLASH_DATE, 2)
-    month_part = F.when(order == "mdy", first).otherwise(second)
-    day_part = F.when(order == "mdy", second).otherwise(first)
-    slash = F.concat_ws("-", F.regexp_extract(s, SLASH_DATE, 3), F.lpad(month_part, 2, "0"), F.lpad(day_part, 2, "0"))
-    text = F.when(s.rlike(ISO_DATE), iso).when(s.rlike(SLASH_DATE), slash)
-    # Year zero is not a date.
-    return F.when(~text.startswith("0000"), F.try_to_date(text, "yyyy-MM-dd"))
+    return day_text(strip(raw), slash_order).try_cast("date")
 
 
 def slash_first(raw: Column) -> Column:

@@ -17,14 +17,13 @@ from tallyframe.sources.exports import parse_lines
 class ParsedExports:
     """Lazily derived tables. The `line` table is written once, because every other table reads it."""
 
-    def __init__(self, files: DataFrame, cut: bool = True) -> None:
-        # The same bytes twice in one batch are one export.
-        self.files = files
+    def __init__(self, files: DataFrame, cut: bool = True, spread: int | None = None) -> None:
+        self.files, self.spread = files, spread
         self._cut = session.cut if cut else (lambda df: df)
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._cut(parse_lines(self.files))
+        return self._cut(parse_lines(self.files, self.spread))
 
     @cached_property
     def facts(self) -> DataFrame:

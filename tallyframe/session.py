@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JVM does not compile methods above this many bytes; wide projections (parsing a line into
+    # thirty typed columns) then run much faster split into small generated methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

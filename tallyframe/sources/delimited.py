@@ -69,82 +69,133 @@ def split_fields(body: Column, delimiter: Column) -> Column:
 
 
 def without_newline(record: Column) -> Column:
-    return F.regexp_replace(record, rf"(?:{NEWLINE})\z", "")
+    cut = lambda n: F.substr(record, F.lit(1), F.length(record) - n)
+    return (F.when(record.endswith("\r\n"), cut(2))
+            .when(record.endswith("\n") | record.endswith("\r"), cut(1)).otherwise(record))
 
 
 def records_of(text: Column, delimiter: Column) -> Column:
-    """Records with their line ends; the empty match at the end of the text is dropped."""
+    """Records with their line ends, or without them in text that has no quote. The empty match at the
+    end of the text is dropped; blank records are still there."""
     found = by_delimiter(delimiter, lambda d: F.regexp_extract_all(text, F.lit(record_pattern(d)), F.lit(0)))
-    return F.filter(found, lambda r: r != "")
+    lines = F.when(text.contains("\r"), F.split(text, NEWLINE, -1)).otherwise(F.split(text, "\n", -1))
+    return F.when(text.contains('"'), F.filter(found, lambda r: r != "")).when(
+        text.rlike(r"[\r\n]\z"), F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
 
 
 def is_blank(record: Column, delimiter: Column) -> Column:
     return by_delimiter(delimiter, lambda d: record.rlike(blank_pattern(d)))
 
 
-def profile_delimiter(text: Column) -> Column:
-    """struct(delimiter, consistent lines, width) that splits the first lines most consistently.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value computed once. A lambda re-evaluates every outer expression it mentions for
+    each element, and the optimizer inlines a column that is used once, so a bound variable is the
+    only form that stays linear."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sample_text(text: Column) -> Column:
+    """The first lines that are not blank, the sample delimiters are judged on."""
+    head = F.regexp_extract(text, rf"\A(?:(?:(?!{SAMPLE_NEWLINE})[\s\S])*+(?:{SAMPLE_NEWLINE}|\z)){{0,{SAMPLE_LINES}}}+", 0)
+    lines = F.filter(F.slice(F.split(head, SAMPLE_NEWLINE), 1, SAMPLE_LINES), lambda x: strip(x) != "")
+    return F.array_join(lines, "\n")
+
+
+def sample_widths(sample: Column, delimiter: str) -> Column:
+    d = F.lit(delimiter)
+    return F.transform(records_of(sample, d), lambda r: F.size(split_fields(without_newline(r), d)))
+
+
+def profile_delimiter(widths: list[Column]) -> Column:
+    """struct(lines, width, delimiter) that splits the sample most consistently.
 
     Per delimiter: the most frequent width (first seen wins a tie), scored by its frequency when it
     is above one, then by the width; the earlier delimiter wins a tie. Zero lines means undelimited.
     """
-    head = F.regexp_extract(text, rf"\A(?:(?:(?!{SAMPLE_NEWLINE})[\s\S])*+(?:{SAMPLE_NEWLINE}|\z)){{0,{SAMPLE_LINES}}}+", 0)
-    lines = F.filter(F.slice(F.split(head, SAMPLE_NEWLINE), 1, SAMPLE_LINES), lambda x: strip(x) != "")
-    sample = F.array_join(lines, "\n")
-
-    def best(d: str, rank: int) -> Column:
-        widths = F.transform(
-            records_of(sample, F.lit(d)), lambda r: F.size(split_fields(without_newline(r), F.lit(d))))
-        modes = F.transform(F.array_distinct(widths), lambda w, i: F.struct(
-            F.size(F.filter(widths, lambda x: x == w)).alias("n"), (-i).alias("seen"), w.alias("w")))
-        mode = F.array_max(modes)
+    def best(rank: int) -> Column:
+        mode = let(widths[rank], lambda seen: F.array_max(F.transform(F.array_distinct(seen), lambda w, i: F.struct(
+            F.size(F.filter(seen, lambda x: x == w)).alias("n"), (-i).alias("seen"), w.alias("w")))))
         return F.struct(F.when(mode["w"] > 1, mode["n"]).otherwise(0).alias("lines"),
-                        F.coalesce(mode["w"], F.lit(0)).alias("width"), F.lit(-rank).alias("order"), F.lit(d).alias("delimiter"))
+                        F.coalesce(mode["w"], F.lit(0)).alias("width"), F.lit(-rank).alias("order"),
+                        F.lit(DELIMITERS[rank]).alias("delimiter"))
+
+    return F.array_max(F.array(*[best(i) for i in range(len(DELIMITERS))]))
+
+
+def blocks_of(text: Column, delimiter: Column) -> Column:
+    """The text cut after every BLOCK records. Whole-file work then runs over a few hundred strings
+    instead of an array of every record; all blocks but the last hold exactly BLOCK records."""
+    found = by_delimiter(delimiter, lambda d: F.regexp_extract_all(
+        text, F.lit(f"(?:(?!\\z)(?:{record_pattern(d)})){{1,{BLOCK}}}+"), F.lit(0)))
+    # Without quotes a record is a line, and cutting after a number of lines is much cheaper.
+    lines = F.regexp_extract_all(text, F.lit(rf"(?:[^\r\n]*+(?:{NEWLINE})){{1,{BLOCK}}}+|[^\r\n]++\z"), F.lit(0))
+    return F.filter(F.when(text.contains('"'), found).otherwise(lines), lambda b: b != "")
 
-    return F.array_max(F.array(*[best(d, i) for i, d in enumerate(DELIMITERS)]))
 
+def line_ends(text: Column) -> Column:
+    """Number of line ends; plain byte counting where the text only uses one kind."""
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(text.contains("\r"), F.regexp_count(text, F.lit(NEWLINE))).otherwise(feeds)
 
-def oversize_code(records: Column, delimiter: Column) -> Column:
+
+def oversize_code(blocks: Column, delimiter: Column) -> Column:
     """First limit a record breaks: an oversized field, too many columns, or too many lines."""
     def code(r: Column) -> Column:
         fields = split_fields(without_newline(r), delimiter)
         return (F.when(F.exists(fields, lambda f: F.length(f) > MAX_FIELD_CHARS), "malformed_csv")
                 .when(F.size(fields) > MAX_COLUMNS, "too_many_columns"))
 
-    # Only records long enough to break a limit are looked at.
-    marked = F.transform(records, lambda r, i: F.when(F.length(r) >= MAX_COLUMNS, F.struct(i.alias("i"), code(r).alias("code"))))
-    first = F.get(F.filter(marked, lambda m: m["code"].isNotNull()), F.lit(0))
-    lines = F.size(records) + extra_lines(records)
-    return (F.when(first["i"] < MAX_LINES, first["code"]).when(lines > MAX_LINES, "too_many_rows").otherwise(first["code"]))
+    def first_bad(b: Column, i: Column) -> Column:
+        # A record can only break a limit with a long line, or with line ends inside its fields.
+        several = (line_ends(b) != BLOCK) & b.contains('"')
+        marks = F.transform(records_of(b, delimiter), lambda r, j: F.when(
+            F.length(r) >= MAX_COLUMNS, F.struct((i * BLOCK + j).alias("at"), code(r).alias("code"))))
+        return F.when(b.rlike(rf"(?:\A|[\r\n])[^\r\n]{{{MAX_COLUMNS - 1}}}") | several,
+                      F.get(F.filter(marks, lambda m: m["code"].isNotNull()), F.lit(0)))
+
+    bad = F.get(F.filter(F.transform(blocks, first_bad), lambda m: m.isNotNull()), F.lit(0))
+    lines = F.aggregate(blocks, F.lit(0), lambda s, b: s + line_ends(b)) + F.when(
+        F.element_at(blocks, -1).rlike(r"[\r\n]\z"), 0).otherwise(1)
+    return (F.when(bad["at"] < MAX_LINES, bad["code"]).when(lines > MAX_LINES, "too_many_rows").otherwise(bad["code"]))
 
 
 def _extra(record: Column) -> Column:
     """Line ends inside one record's quoted fields."""
-    return F.when(record.contains('"'), F.regexp_count(without_newline(record), F.lit(NEWLINE))).otherwise(0)
+    return F.when(record.contains('"'), line_ends(without_newline(record))).otherwise(0)
 
 
 def extra_lines(records: Column) -> Column:
     return F.aggregate(records, F.lit(0), lambda s, r: s + _extra(r))
 
 
-def numbered_blocks(records: Column) -> Column:
-    """Blocks of records with the physical line before each block, ready to explode.
+def numbered_blocks(blocks: Column) -> Column:
+    """array<struct(before, text)>: blocks with the physical line before each, ready to explode."""
+    return let(F.transform(blocks, line_ends), lambda ends: F.transform(blocks, lambda b, i: F.struct(
+        F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda s, e: s + e).alias("before"), b.alias("text"))))
+
+
+def numbered_records(before: Column, text: Column, delimiter: Column) -> Column:
+    """array<struct(line, body)>: each record of a block with the line it ends on.
 
-    Quoted line ends make a record's line depend on all earlier ones; summing them per block and then
-    within a block keeps that linear without a window over the file.
+    Quoted line ends make a line depend on the records before it; they are summed within the block,
+    and only in a block that has any.
     """
-    count = F.ceil(F.size(records) / F.lit(BLOCK)).cast("int")
-    index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    extras = F.transform(index, lambda b: extra_lines(F.slice(records, b * BLOCK + 1, F.lit(BLOCK))))
-    return F.transform(index, lambda b: F.struct(
-        (b * BLOCK + F.aggregate(F.slice(extras, F.lit(1), b), F.lit(0), lambda s, e: s + e)).alias("before"),
-        F.get(extras, b).alias("extra"),
-        F.slice(records, b * BLOCK + 1, F.lit(BLOCK)).alias("records")))
-
-
-def numbered_records(before: Column, extra: Column, records: Column) -> Column:
-    """array<struct(line, body)>: each record with the line it ends on."""
-    def line(r: Column, i: Column) -> Column:
-        inside = F.when(extra > 0, F.aggregate(F.slice(records, F.lit(1), i + 1), F.lit(0), lambda s, x: s + _extra(x))).otherwise(0)
-        return F.struct((before + i + 1 + inside).cast("bigint").alias("line"), without_newline(r).alias("body"))
-    return F.transform(records, line)
+    def plain(r: Column, i: Column) -> Column:
+        return F.struct((before + i + 1).cast("bigint").alias("line"), without_newline(r).alias("body"))
+
+    def number(records: Column) -> Column:
+        def shifted(r: Column, i: Column) -> Column:
+            inside = extra_lines(F.slice(records, F.lit(1), i + 1))
+            return F.struct((before + i + 1 + inside).cast("bigint").alias("line"), without_newline(r).alias("body"))
+        several = text.contains('"') & (line_ends(text) > F.size(records))
+        return F.when(several, F.transform(records, shifted)).otherwise(F.transform(records, plain))
+    return let(records_of(text, delimiter), number)
+
+
+def joined_fields(body: Column, fields: Column, delimiter: Column) -> Column:
+    """Trimmed fields joined by NUL, which cannot occur in accepted text. A record without quotes or
+    padding only has its delimiters replaced."""
+    ws = "".join(ch for ch in WHITESPACE if ch != "\t")
+    plain = ~body.contains('"') & ~body.rlike(rf"[{ws}](?:[,;\t|]|\z)|(?:\A|[,;\t|])[{ws}]|(?:\A|\t)\t|\t\z")
+    return F.when(plain, by_delimiter(
+        delimiter, lambda d: F.translate(body, d, "\x00"))).otherwise(F.array_join(F.transform(fields, strip), "\x00"))

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import cells
-from tallyframe.functions.cells import BLANK_LABEL, clean_label, is_true, is_unallocated_label, money, quantity, strip, to_day
+from tallyframe.functions.cells import BLANK_LABEL, clean_label, is_true, is_unallocated_label, money, strip
 from tallyframe.schema import DIMENSIONS, KEYS, LONG_DIMENSIONS, OWNERSHIP_DIMENSIONS
 from tallyframe.sources import delimited, layouts
-from tallyframe.sources.landing import UTF8_BOM
+from tallyframe.sources.landing import DELIMITERS, UTF8_BOM
 
 # ---- fixed values: why a file cannot be analysed -------------------------------------------------------
 FATAL_MESSAGES = {
@@ -49,32 +49,39 @@ def _decoded(files: DataFrame) -> DataFrame:
 
 def _shape(files: DataFrame) -> DataFrame:
     """Delimiter, records, header, layout and date order of every readable file."""
-    profiled = _decoded(files).withColumn("_p", F.when(F.col("_text").isNotNull(), delimited.profile_delimiter(F.col("_text"))))
+    sampled = _decoded(files).withColumn("_sample", delimited.sample_text(F.col("_text"))).withColumns(
+        {f"_w{i}": delimited.sample_widths(F.col("_sample"), mark) for i, mark in enumerate(DELIMITERS)})
+    profiled = sampled.withColumn("_p", delimited.profile_delimiter([F.col(f"_w{i}") for i in range(len(DELIMITERS))]))
     d = F.col("delimiter")
-    code = F.coalesce("_code", F.when(F.col("_p.lines") == 0, "not_delimited"))
+    code = F.coalesce("_code", F.when(F.coalesce("_p.lines", F.lit(0)) == 0, "not_delimited"))
     split = (
         profiled.withColumn("_code", code).withColumn("delimiter", F.when(F.col("_code").isNull(), F.col("_p.delimiter")))
-        .withColumn("_records", F.when(F.col("_code").isNull(), delimited.records_of(F.col("_text"), d)))
-        .withColumn("_code", F.coalesce("_code", delimited.oversize_code(F.col("_records"), d)))
+        .withColumn("_blocks", F.when(F.col("_code").isNull(), delimited.blocks_of(F.col("_text"), d)))
+        .withColumn("_code", F.coalesce("_code", delimited.oversize_code(F.col("_blocks"), d)))
+        .withColumn("_early", F.when(F.col("_code").isNull(), delimited.records_of(F.get("_blocks", F.lit(0)), d)))
     )
-    # Header and row count need the first records that are not blank; blank ones are rare and early.
+    # Header and row count need the first two records that are not blank, nearly always in the first block.
     nonblank = lambda records: F.filter(records, lambda r: ~delimited.is_blank(r, d))
-    early = nonblank(F.slice("_records", 1, 50))
-    lead = F.when(F.size(early) >= 2, F.slice(early, 1, 2)).otherwise(F.slice(nonblank(F.col("_records")), 1, 2))
+    everything = F.flatten(F.transform("_blocks", lambda b: delimited.records_of(b, d)))
+    lead = F.slice(nonblank(F.col("_early")), 1, 2)
+    led = split.withColumn("_lead", lead).withColumn(
+        "_early", F.when(F.size("_lead") < 2, everything).otherwise(F.col("_early"))).withColumn(
+        "_lead", F.when(F.size("_lead") < 2, F.slice(nonblank(F.col("_early")), 1, 2)).otherwise(F.col("_lead")))
     headed = (
-        split.withColumn("_lead", F.when(F.col("_code").isNull(), lead))
-        .withColumn("_code", F.coalesce("_code", F.when(F.size("_lead") == 0, "empty_file").when(F.size("_lead") < 2, "no_data_rows")))
+        led.withColumn("_code", F.coalesce("_code", F.when(F.size("_lead") == 0, "empty_file").when(F.size("_lead") < 2, "no_data_rows")))
         .withColumn("_header", F.when(F.col("_code").isNull(), delimited.split_fields(
             delimited.without_newline(F.get("_lead", F.lit(0))), d)))
-        .withColumn("_header_at", F.array_position("_records", F.get("_lead", F.lit(0))).cast("int"))
-        .withColumn("_header_line", F.col("_header_at") + delimited.extra_lines(F.slice("_records", F.lit(1), F.col("_header_at"))))
-        .withColumn("_cols", F.when(F.col("_code").isNull(), layouts.map_headers(F.col("_header"))))
+        .withColumn("_header_at", F.array_position("_early", F.get("_lead", F.lit(0))).cast("int"))
+        .withColumn("_header_line", F.col("_header_at") + delimited.extra_lines(F.slice("_early", F.lit(1), F.col("_header_at"))))
+        .withColumn("_spaced", F.transform("_header", cells.normalized_header))
+        .withColumn("_joined", F.transform("_spaced", lambda h: F.translate(h, " ", "_")))
+        .withColumn("_cols", F.when(F.col("_code").isNull(), layouts.map_headers(F.col("_spaced"), F.col("_joined"))))
         .withColumn("_long", layouts.looks_long(F.col("_cols")))
     )
     # Date cells are only cut out of the whole file where slash dates exist or the layout depends on them.
-    slashes = F.col("_text").rlike(r"\d{1,2}/\d{1,2}/\d{4}")
+    slashes = F.col("_text").contains("/") & F.col("_text").rlike(r"\d{1,2}/\d{1,2}/\d{4}")
     date_index = F.when(F.col("_long"), F.col("_cols.date")).otherwise(0)
-    body = F.transform(nonblank(F.col("_records")), delimited.without_newline)
+    body = F.transform(nonblank(everything), delimited.without_newline)
     date_cells = F.filter(F.transform(F.slice(body, F.lit(2), F.greatest(F.size(body), F.lit(1))),
                                       lambda r: F.get(delimited.split_fields(r, d), date_index)), lambda c: c.isNotNull())
     dated = headed.withColumn("_dates", F.when(F.col("_code").isNull() & (slashes | ~F.col("_long")), date_cells))
@@ -96,23 +103,23 @@ def _shape(files: DataFrame) -> DataFrame:
         typed.withColumn("_code", F.coalesce("_code", F.when(F.col("layout").isNull(), "unsupported_layout")
                                              .when(missing, "missing_required_columns")))
         .withColumn("primary_dimension", primary)
-        .withColumn("dimension_label", F.when(is_long, F.initcap(F.translate("primary_dimension", "_", " "))).otherwise(label))
-        .withColumn("dimensions_available", F.when(is_long, F.col("_dims")).otherwise(F.array("primary_dimension")))
+        .withColumn("dimension_label", F.when(is_long, F.initcap(F.translate("primary_dimension", "_", " ")))
+                    .when(F.col("layout").isNotNull(), label))
+        .withColumn("dimensions_available", F.when(is_long, F.col("_dims")).when(
+            F.col("layout").isNotNull(), F.array("primary_dimension")))
     )
 
 
-def _at(index: Column) -> Column:
-    """A field by mapped index; NULL when the header does not map it."""
-    return F.when(index.isNotNull(), F.get("fields", index))
+def parse_lines(files: DataFrame, spread: int | None = None) -> DataFrame:
+    """The `line` table. files: tenant_id, export_id, path, content.
 
-
-def parse_lines(files: DataFrame) -> DataFrame:
-    """The `line` table. files: tenant_id, export_id, path, content."""
+    With many files each is one unit of work and nothing is shuffled. `spread` distributes the blocks
+    of a few large ones over that many tasks instead.
+    """
     shaped = _shape(files)
     usable = F.col("_code").isNull()
-    block_type = "array<struct<before:int,extra:int,records:array<string>>>"
-    own = F.array(F.struct(F.lit(-1).alias("before"), F.lit(0).alias("extra"), F.array(F.lit("")).alias("records"))).cast(block_type)
-    blocks = F.when(usable, F.concat(own, delimited.numbered_blocks(F.col("_records")).cast(block_type))).otherwise(own)
+    own = F.array(F.struct(F.lit(-1).alias("before"), F.lit("").alias("text")))
+    blocks = F.when(usable, F.concat(own, delimited.numbered_blocks(F.col("_blocks")))).otherwise(own)
     message = F.when((F.col("_code") == "missing_required_columns") & (F.col("layout") != "long"), NO_COST_COLUMNS).otherwise(
         F.try_element_at(F.create_map(*[F.lit(x) for kv in FATAL_MESSAGES.items() for x in kv]), F.col("_code")))
     facts = ["path", "had_bom", "delimiter", "layout", "primary_dimension", "dimension_label", "dimensions_available",
@@ -121,55 +128,69 @@ def parse_lines(files: DataFrame) -> DataFrame:
         *KEYS, *facts, F.col("_code").alias("fatal_code"), message.alias("fatal_message"),
         F.size("_header").alias("_width"), "_header_line", "_cols", "_columns", layouts.first_currency(F.col("_header")).alias("_currency"),
         F.explode(blocks).alias("_b"))
-    rows = meta.select("*", F.inline(delimited.numbered_records(F.col("_b.before"), F.col("_b.extra"), F.col("_b.records")))).withColumn(
-        "_file", F.col("_b.before") < 0).drop("_b")
+    if spread:
+        meta = meta.repartition(spread)
+    is_file = F.col("_b.before") < 0
+    numbered = F.when(is_file, F.array(F.struct(F.lit(0).cast("bigint").alias("line"), F.lit("").alias("body")))).otherwise(
+        delimited.numbered_records(F.col("_b.before"), F.col("_b.text"), F.col("delimiter")))
+    rows = meta.select("*", is_file.alias("_file"), F.inline(numbered)).drop("_b")
     rows = rows.where(F.col("_file") | (F.col("line") != F.col("_header_line")))
-    fields = F.when(~F.col("_file"), delimited.split_fields(F.col("body"), F.col("delimiter")))
-    rows = rows.withColumn("fields", fields).where(F.col("_file") | F.exists("fields", lambda f: strip(f) != ""))
+    # Blank records are dropped before they are split; a filter on the fields would split twice.
+    rows = rows.where(F.col("_file") | ~delimited.is_blank(F.col("body"), F.col("delimiter")))
+    rows = rows.withColumn("fields", F.when(~F.col("_file"), delimited.split_fields(F.col("body"), F.col("delimiter"))))
     return _typed(rows, facts)
 
 
 def _typed(rows: DataFrame, facts: list[str]) -> DataFrame:
-    """Fields to typed columns. Judging across rows (duplicates, conflicts) comes later."""
-    cols, comma, order = F.col("_cols"), F.col("delimiter") == ";", F.col("slash_order")
-    is_long, is_file = F.col("layout") == "long", F.col("_file")
+    """Fields to typed columns, in steps: a value that later steps use several times is a column first,
+    so it is computed once and no step compiles to an oversized method. Judging across rows comes later.
+    """
+    cols, is_file, comma = F.col("_cols"), F.col("_file"), F.col("_comma")
+    at = lambda name: F.when(F.col("_on") & cols[name].isNotNull(), F.get("fields", cols[name]))
     first_cell = F.get("fields", F.lit(0))
-    kind = (F.when(is_file, "file").when(~is_long & cells.is_total_label(first_cell), "total").otherwise("data"))
-    data = ~is_file
-    width_ok = F.size("fields") == F.col("_width")
-    usable = data & width_ok
-    period = to_day(F.when(is_long, _at(cols["date"])).otherwise(first_cell), order)
-    none = F.lit(None)
-    qty = F.when(usable & is_long & cols["usage_quantity"].isNotNull(), quantity(_at(cols["usage_quantity"]), comma))
-    label = {d: F.when(usable & is_long & cols[d].isNotNull(), F.coalesce(
-        F.nullif(clean_label(_at(cols[d])), F.lit("")), F.lit(BLANK_LABEL))) for d in LONG_DIMENSIONS}
-    unallocated = F.lit(False)
+    base = rows.withColumns({
+        "_comma": F.col("delimiter") == ";", "_long": F.col("layout") == "long",
+        "width_ok": F.when(~is_file, F.size("fields") == F.col("_width"))})
+    base = base.withColumns({
+        "_usable": F.coalesce("width_ok", F.lit(False)), "_on": F.coalesce("width_ok", F.lit(False)) & F.col("_long"),
+        "kind": F.when(is_file, "file").when(~F.col("_long") & cells.is_total_label(first_cell), "total").otherwise("data")})
+    raw = base.withColumns({
+        "_joined": F.when(F.col("_usable"), delimited.joined_fields(F.col("body"), F.col("fields"), F.col("delimiter"))),
+        "_date": strip(F.when(F.col("_on"), F.get("fields", cols["date"])).when(F.col("_usable"), first_cell)),
+        "_cost": cells.money_text(at("cost"), comma), "_qty": cells.quantity_text(at("usage_quantity"), comma),
+        "_end": strip(at("period_end")), "_unit": at("usage_unit"), "_flag": at("partial"),
+        "_cur": F.when(F.col("_on"), F.when(
+            cols["currency"].isNotNull(), F.upper(clean_label(at("currency")))).otherwise(F.col("_currency"))),
+        **{f"_l_{d}": F.when(F.col("_on") & cols[d].isNotNull(), F.coalesce(
+            F.nullif(clean_label(at(d)), F.lit("")), F.lit(BLANK_LABEL))) for d in LONG_DIMENSIONS}})
+    texts = raw.withColumns({
+        "_day": cells.day_text(F.col("_date"), F.col("slash_order")),
+        "_end_day": cells.day_text(F.col("_end"), F.col("slash_order")),
+        # The columns of a wide export ride in one array, judged cell by cell.
+        "_cells": F.when(~F.col("_long") & ~is_file, F.transform("_columns", lambda c: F.struct(
+            c["idx"].alias("idx"), c["label"].alias("label"), c["currency"].alias("currency"), c["total"].alias("total"),
+            money(F.get("fields", c["idx"]), comma).alias("cell")))),
+        "_q": cells.quantity_cell(F.col("_qty"))})
+    owner = F.lit(False)
     for d in OWNERSHIP_DIMENSIONS:
-        if d in label:
-            unallocated = unallocated | F.coalesce(is_unallocated_label(label[d]) | (label[d] == BLANK_LABEL), F.lit(False))
-    stated = lambda c: money(F.get("fields", c["idx"]), comma)
-    cell_values = F.when(~is_long & data, F.transform("_columns", lambda c: F.struct(
-        c["idx"].alias("idx"), c["label"].alias("label"), c["currency"].alias("currency"), c["total"].alias("total"),
-        stated(c).alias("cell"))))
-    currency = F.when(cols["currency"].isNotNull(), F.upper(clean_label(_at(cols["currency"])))).otherwise(F.col("_currency"))
-    return rows.select(
-        *KEYS, kind.alias("kind"), F.when(is_file, F.lit(0)).otherwise(F.col("line")).cast("bigint").alias("line"),
+        if d in LONG_DIMENSIONS:
+            owner = owner | F.coalesce(is_unallocated_label(F.col(f"_l_{d}")) | (F.col(f"_l_{d}") == BLANK_LABEL), F.lit(False))
+    named = lambda d: F.col(f"_l_{d}") if d in LONG_DIMENSIONS else F.lit(None).cast("string")
+    fact = lambda f: F.col(f) if f == "layout" else F.when(is_file, F.col(f))
+    return texts.select(
+        *KEYS, "kind", F.when(is_file, F.lit(0)).otherwise(F.col("line")).cast("bigint").alias("line"),
         # Facts of the file ride on its own row only; data rows keep what judging needs.
-        *[(F.col(f) if f == "layout" else F.when(is_file, F.col(f))).alias(f) for f in facts],
+        *[fact(f).alias(f) for f in facts],
         "fatal_code", F.when(is_file, F.col("fatal_message")).alias("fatal_message"),
         F.when(is_file, F.transform(F.filter("_columns", lambda c: c["currency"].isNotNull()), lambda c: c["currency"])).alias("header_currencies"),
-        F.col("_cols.date").alias("date_idx"), F.col("_cols.cost").alias("cost_idx"), F.col("_cols.usage_quantity").alias("quantity_idx"),
-        F.when(data, width_ok).alias("width_ok"),
-        # NUL cannot occur in accepted text, so it separates trimmed fields without ambiguity.
-        F.when(usable, F.unhex(F.md5(F.array_join(F.transform("fields", strip), "\x00")))).alias("signature"),
-        F.when(usable, period).alias("period_start"),
-        F.when(usable & is_long, money(_at(cols["cost"]), comma)).alias("cost"),
-        qty.alias("quantity"),
-        F.when(F.coalesce(qty["status"] == "ok", F.lit(False)) & cols["usage_unit"].isNotNull(), clean_label(_at(cols["usage_unit"]))).alias("unit"),
-        F.when(usable & is_long, currency).alias("currency"),
-        *[(label[d] if d in label else none.cast("string")).alias(d) for d in DIMENSIONS],
-        (usable & is_long & unallocated).alias("unallocated"),
-        F.when(usable & is_long & cols["period_end"].isNotNull(), to_day(_at(cols["period_end"]), order)).alias("period_end"),
-        (usable & is_long & cols["partial"].isNotNull() & F.coalesce(is_true(_at(cols["partial"])), F.lit(False))).alias("partial"),
-        cell_values.alias("cells"),
+        cols["date"].alias("date_idx"), cols["cost"].alias("cost_idx"), cols["usage_quantity"].alias("quantity_idx"),
+        "width_ok", F.unhex(F.md5("_joined")).alias("signature"),
+        F.col("_day").try_cast("date").alias("period_start"),
+        F.when(F.col("_on"), cells.money_cell(F.col("_cost"))).alias("cost"),
+        F.when(F.col("_qty").isNotNull(), F.col("_q")).alias("quantity"),
+        F.when(F.coalesce(F.col("_q.status") == "ok", F.lit(False)), clean_label(F.col("_unit"))).alias("unit"),
+        F.col("_cur").alias("currency"), *[named(d).alias(d) for d in DIMENSIONS],
+        (F.col("_on") & owner).alias("unallocated"),
+        F.col("_end_day").try_cast("date").alias("period_end"), F.coalesce(is_true(F.col("_flag")), F.lit(False)).alias("partial"),
+        F.col("_cells").alias("cells"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyframe.functions.cells import (
-    clean_label, header_currency, header_label, is_total_label, normalized_header, strip, to_day,
+    clean_label, header_currency, header_label, is_total_label, strip, to_day,
 )
 from tallyframe.schema import LONG_DIMENSIONS
 
@@ -54,11 +54,11 @@ WIDE_DIMENSIONS = [
 ]
 
 
-def map_headers(header: Column) -> Column:
-    """struct(field -> column index or NULL): per field the best alias present, leftmost column."""
-    spaced = F.transform(header, normalized_header)
-    joined = F.transform(spaced, lambda h: F.translate(h, " ", "_"))
+def map_headers(spaced: Column, joined: Column) -> Column:
+    """struct(field -> column index or NULL): per field the best alias present, leftmost column.
 
+    `spaced`: normalised headers; `joined`: the same with underscores, which some aliases use.
+    """
     def index(aliases: list[str]) -> Column:
         found = F.transform(F.array(*map(F.lit, aliases)), lambda a: F.least(
             F.nullif(F.array_position(spaced, a), F.lit(0)), F.nullif(F.array_position(joined, a), F.lit(0))))
