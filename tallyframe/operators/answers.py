@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions.bind import let
 from tallyframe.schema import CATEGORIES, MISSING_LABELS, OWNER_GROUPS, QUESTION_KEYS, RISK_LEVELS, URGENCY_LEVELS
 
 ANSWER_TYPE = ("map<string,struct<type:string,choice:string,confidence:double,score:double,noul:double,"
@@ -51,38 +52,42 @@ def _level(a: Column, levels: list[str]) -> Column:
 
 def validate_answers(calls: DataFrame, column: str = "answers") -> DataFrame:
     """Adds `valid`, `invalid_question` and the typed `answer`; malformed answers are never repaired."""
-    parsed = calls.withColumn("_a", F.from_json(column, ANSWER_TYPE))
-    at = lambda key: F.try_element_at("_a", F.lit(key))
-    checks = {
-        "decision_category": _choice(at("decision_category"), CATEGORIES),
-        "owner_group": _choice(at("owner_group"), list(OWNER_GROUPS)),
-        "primary_missing_evidence": _choice(at("primary_missing_evidence"), list(MISSING_LABELS)),
-        "urgency": _score(at("urgency"), URGENCY_LEVELS),
-        "risk_without_evidence": _score(at("risk_without_evidence"), RISK_LEVELS),
-        "evidence_sufficient": _yes_no(at("evidence_sufficient")),
-        "needs_human_review": _yes_no(at("needs_human_review")),
-        "change_material": _yes_no(at("change_material")),
-    }
-    first_bad = F.coalesce(
-        *[F.when(at(k).isNull(), F.lit(k)) for k in QUESTION_KEYS],
-        *[F.when(~ok, F.lit(k)) for k, ok in checks.items()])
-    typed = F.struct(
-        at("decision_category")["choice"].alias("category"),
-        at("decision_category")["confidence"].alias("category_confidence"),
-        at("decision_category")["probabilities"].alias("category_probabilities"),
-        at("owner_group")["choice"].alias("owner"),
-        at("owner_group")["confidence"].alias("owner_confidence"),
-        _level(at("urgency"), URGENCY_LEVELS).alias("urgency"),
-        _level(at("risk_without_evidence"), RISK_LEVELS).alias("risk"),
-        at("primary_missing_evidence")["choice"].alias("primary_missing"),
-        at("evidence_sufficient")["noul"].alias("evidence_sufficient"),
-        at("needs_human_review")["noul"].alias("needs_human_review"),
-        at("change_material")["noul"].alias("change_material"),
-    )
+    def judge(parsed: Column) -> Column:
+        at = lambda key: F.try_element_at(parsed, F.lit(key))
+        checks = {
+            "decision_category": _choice(at("decision_category"), CATEGORIES),
+            "owner_group": _choice(at("owner_group"), list(OWNER_GROUPS)),
+            "primary_missing_evidence": _choice(at("primary_missing_evidence"), list(MISSING_LABELS)),
+            "urgency": _score(at("urgency"), URGENCY_LEVELS),
+            "risk_without_evidence": _score(at("risk_without_evidence"), RISK_LEVELS),
+            "evidence_sufficient": _yes_no(at("evidence_sufficient")),
+            "needs_human_review": _yes_no(at("needs_human_review")),
+            "change_material": _yes_no(at("change_material")),
+        }
+        first_bad = F.coalesce(
+            *[F.when(at(k).isNull(), F.lit(k)) for k in QUESTION_KEYS],
+            *[F.when(~ok, F.lit(k)) for k, ok in checks.items()])
+        typed = F.struct(
+            at("decision_category")["choice"].alias("category"),
+            at("decision_category")["confidence"].alias("category_confidence"),
+            at("decision_category")["probabilities"].alias("category_probabilities"),
+            at("owner_group")["choice"].alias("owner"),
+            at("owner_group")["confidence"].alias("owner_confidence"),
+            _level(at("urgency"), URGENCY_LEVELS).alias("urgency"),
+            _level(at("risk_without_evidence"), RISK_LEVELS).alias("risk"),
+            at("primary_missing_evidence")["choice"].alias("primary_missing"),
+            at("evidence_sufficient")["noul"].alias("evidence_sufficient"),
+            at("needs_human_review")["noul"].alias("needs_human_review"),
+            at("change_material")["noul"].alias("change_material"),
+        )
+        return F.struct(first_bad.alias("bad"), typed.alias("typed"))
+
+    # Bound once: filters on the result are pushed below this step and would repeat the parse.
     return (
-        parsed.withColumn("invalid_question", first_bad)
+        calls.withColumn("_j", let(F.from_json(column, ANSWER_TYPE), judge))
+        .withColumn("invalid_question", F.col("_j.bad"))
         .withColumn("valid", F.col("invalid_question").isNull())
-        .withColumn("answer", F.when(F.col("valid"), typed)).drop("_a")
+        .withColumn("answer", F.when(F.col("_j.bad").isNull(), F.col("_j.typed"))).drop("_j")
     )
 
 

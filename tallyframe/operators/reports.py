@@ -34,7 +34,8 @@ def agreement(decisions: DataFrame) -> DataFrame:
 
 
 def reason_counts(decisions: DataFrame) -> DataFrame:
-    return decisions.select(F.explode("policy_reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    # Outer, then filtered: a plain explode pushes "has reasons" below everything that computed them.
+    return decisions.select(F.explode_outer("policy_reasons").alias("reason")).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def variant_report(answered: DataFrame) -> DataFrame:

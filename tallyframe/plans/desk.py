@@ -102,7 +102,8 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         score(F.col("l_quantity") / 16).alias("urgency"), score(F.lit(1.0)).alias("risk_without_evidence"),
         pick(F.lit("change_context")).alias("primary_missing_evidence"), yes.alias("evidence_sufficient"),
         yes.alias("needs_human_review"), yes.alias("change_material")))
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    # Line keys repeat within an order; the supplier makes the order of the calls total.
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         _tenant("o_custkey").alias("tenant_id"), F.concat(F.lit("R"), F.col("l_orderkey").cast("string")).alias("run_id"),

@@ -33,10 +33,9 @@ def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = F.explode(F.sequence(F.lit(1), F.when(F.col("l_quantity") == 10, 2).otherwise(1)))
     numbered = rows.select(
         F.floor(F.col("l_orderkey") / ORDERS_PER_FILE).alias("chunk"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"),
-        line.alias("text"), copies.alias("copy"))
-    # Distinct lines can still be equal by content; the copy number keeps the order total.
+        "l_partkey", "l_suppkey", line.alias("text"), copies.alias("copy"))
     body = numbered.groupBy("chunk").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("n", "copy", "text"))), lambda r: r["text"]), "\n").alias("body"))
+        F.array_sort(F.collect_list(F.struct("n", "l_partkey", "l_suppkey", "copy", "text"))), lambda r: r["text"]), "\n").alias("body"))
     return body.select(
         F.lit("star").alias("tenant_id"), F.concat(F.lit("long-"), F.col("chunk").cast("string")).alias("export_id"),
         F.concat(F.lit("long-"), F.col("chunk").cast("string")).alias("path"),

@@ -96,7 +96,7 @@ CTE: dict[str, str] = {
   FROM fnd JOIN hm ON hm.e = fnd.e LEFT JOIN ser s ON s.e = fnd.e AND s.dim = fnd.dim AND s.label = fnd.label AND s.month = hm.month GROUP BY ev""",
     "rows_": "SELECT ev, fnd.d AS fd, base.*, (base.month = cur) AS now FROM fnd JOIN base ON base.e = fnd.e AND service = label AND base.month IN (bas, cur) WHERE d > 0 AND kind <> 'unallocated_spend'",
     "refs": """SELECT ev, string_agg('L' || line, ',' ORDER BY line) AS refs, list('L' || line ORDER BY line) AS rl FROM
-  (SELECT ev, line, row_number() OVER (PARTITION BY ev ORDER BY line) AS n FROM rows_) WHERE n <= 20 GROUP BY ev""",
+  (SELECT ev, line, row_number() OVER (PARTITION BY ev ORDER BY line) AS n FROM (SELECT DISTINCT ev, line FROM rows_)) WHERE n <= 20 GROUP BY ev""",
     "sl": " UNION ALL ".join(f"SELECT ev, any_value(e) AS e, any_value(fd) AS fd, '{x}' AS dim, {x} AS label, sum(CASE WHEN now THEN c ELSE -c END) AS d FROM rows_ GROUP BY ev, {x}"
                              for x in DIMS if x != "service"),
     "inf": "SELECT e, dim FROM mv WHERE dim <> 'service' GROUP BY e, dim HAVING count(*) > 1",
@@ -142,31 +142,31 @@ CTE: dict[str, str] = {
   ('commitment_coverage', 'Savings Plans or Reserved Instance coverage')) v(code, words)""",
     # ---- desk tables
     "lead": """SELECT c_custkey AS lead_id, 'T' || c_custkey AS tenant_id, 'owner' || (c_custkey // 4) || '@example.com' AS owner,
-  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'pilot_requested' ELSE 'new' END AS status, CAST(DATE '1995-01-01' + CAST(floor(c_acctbal) AS INT) % 1000 AS DATE) AS at FROM customer""",
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'pilot_requested' ELSE 'new' END AS status, CAST(DATE '1995-01-01' + CAST(floor(c_acctbal) AS INT) % 1000 AS DATE) AS ts_ FROM customer""",
     "file": """SELECT o_orderkey AS file_id, 'T' || o_custkey AS tenant_id, CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END AS lead_id,
-  CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'O' THEN 'accepted' ELSE 'rejected' END AS status, o_orderdate AS at, 'export-' || o_orderkey || '.csv' AS filename,
+  CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'O' THEN 'accepted' ELSE 'rejected' END AS status, o_orderdate AS ts_, 'export-' || o_orderkey || '.csv' AS filename,
   o_orderstatus = 'F' AS gone FROM orders""",
-    "run": """SELECT *, CASE WHEN status = 'completed' AND prio <> '3-MEDIUM' THEN CAST(date_trunc('month', at) AS DATE) END AS month FROM (
-  SELECT 'R' || o_orderkey AS run_id, 'T' || o_custkey AS tenant_id, o_orderkey AS file_id, o_orderdate AS at, o_orderpriority AS prio, CAST(floor(o_totalprice) AS BIGINT) AS seen,
+    "run": """SELECT *, CASE WHEN status = 'completed' AND prio <> '3-MEDIUM' THEN CAST(date_trunc('month', ts_) AS DATE) END AS month FROM (
+  SELECT 'R' || o_orderkey AS run_id, 'T' || o_custkey AS tenant_id, o_orderkey AS file_id, o_orderdate AS ts_, o_orderpriority AS prio, CAST(floor(o_totalprice) AS BIGINT) AS seen,
   CASE WHEN o_orderstatus = 'P' THEN 'failed' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'insufficient_data' ELSE 'completed' END AS status FROM orders)""",
     "fd": """SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY obs DESC, p_brand) AS rank FROM (
   SELECT 'R' || l_orderkey AS run_id, p_brand, 'material_increase_service_' || substr(sha256(p_brand), 1, 8) AS fk, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS obs,
   bool_or(l_returnflag = 'R') AS rev FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand)""",
     "done": "SELECT owner, run.* FROM run JOIN lead ON lead.tenant_id = run.tenant_id WHERE run.status = 'completed'",
     "prev": """SELECT a.owner, a.run_id, a.month, b.run_id AS prev_id, b.month AS prev_month FROM done a JOIN done b ON b.owner = a.owner AND b.month IS NOT NULL
-  AND b.run_id <> a.run_id AND (a.month IS NULL OR b.month < a.month) QUALIFY row_number() OVER (PARTITION BY a.run_id ORDER BY b.month DESC, b.at DESC, b.tenant_id DESC, b.run_id DESC) = 1""",
-    "calls": """SELECT 'R' || l_orderkey AS run_id, 'T' || o_custkey AS tenant_id, l_orderkey * 8 + l_linenumber AS at, sha256(CAST(l_partkey AS VARCHAR)) AS packet, l_linestatus = 'F' AS ok,
+  AND b.run_id <> a.run_id AND (a.month IS NULL OR b.month < a.month) QUALIFY row_number() OVER (PARTITION BY a.run_id ORDER BY b.month DESC, b.ts_ DESC, b.tenant_id DESC, b.run_id DESC) = 1""",
+    "calls": """SELECT 'R' || l_orderkey AS run_id, 'T' || o_custkey AS tenant_id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS ts_, sha256(CAST(l_partkey AS VARCHAR)) AS packet, l_linestatus = 'F' AS ok,
   CASE l_returnflag WHEN 'A' THEN 'INVESTIGATE' WHEN 'R' THEN 'MONITOR' ELSE 'RESIZE' END AS cat, l_discount * 5 AS conf, l_tax * 10 AS p, l_quantity / 16 AS urg
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "chk": """SELECT *, CASE WHEN cat = 'RESIZE' THEN 'decision_category' WHEN urg > 3 THEN 'urgency' END AS bad FROM calls""",
     "dec": """SELECT *, bad IS NULL AS valid, CASE WHEN ok THEN 'INVESTIGATE' ELSE 'MONITOR' END AS rule, CASE WHEN bad IS NULL THEN cat END AS mcat FROM chk""",
     # ---- written exports
-    "lf": """SELECT l_orderkey // 2048 AS chunk, l_orderkey * 8 + l_linenumber AS n, cp, l_tax = 0 AS free, l_returnflag AS flag, p_brand || ', ' || p_name AS service,
+    "lf": """SELECT l_orderkey // 2048 AS chunk, l_orderkey * 8 + l_linenumber AS n, l_partkey, cp, l_tax = 0 AS free, l_returnflag AS flag, p_brand || ', ' || p_name AS service,
   CASE WHEN o_orderpriority = '5-LOW' THEN '(blank)' ELSE 'Team "' || o_orderpriority || '"' END AS tag, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_shipdate AS day, l_suppkey,
   CAST(l_extendedprice AS DECIMAL(18,2)) AS cost, CAST(l_quantity AS INT) AS qty
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey, LATERAL (SELECT unnest(CASE WHEN l_quantity = 10 THEN [1, 2] ELSE [1] END) AS cp)""",
-    "ll": """SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY n, cp) + 1 AS line, CASE WHEN free AND flag = 'N' THEN 'missing_cost' WHEN free AND flag = 'R' THEN 'invalid_number' END AS bad,
-  row_number() OVER (PARTITION BY chunk, day, service, l_suppkey, CASE WHEN free AND flag = 'N' THEN '' WHEN free AND flag = 'R' THEN 'N/A' ELSE CAST(cost AS VARCHAR) END, qty, tag ORDER BY n, cp) AS nth FROM lf""",
+    "ll": """SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY n, l_partkey, l_suppkey, cp) + 1 AS line, CASE WHEN free AND flag = 'N' THEN 'missing_cost' WHEN free AND flag = 'R' THEN 'invalid_number' END AS bad,
+  row_number() OVER (PARTITION BY chunk, day, service, l_suppkey, CASE WHEN free AND flag = 'N' THEN '' WHEN free AND flag = 'R' THEN 'N/A' ELSE CAST(cost AS VARCHAR) END, qty, tag ORDER BY n, l_partkey, l_suppkey, cp) AS nth FROM lf""",
     "lr": "SELECT *, CASE WHEN nth > 1 THEN 'duplicate_row' ELSE bad END AS reason FROM ll",
     "wm": """SELECT r_name AS e, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus AS s, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
@@ -221,7 +221,7 @@ ORACLE: dict[str, str] = {
     "finding_history": sql("SELECT ev AS evidence_id, history FROM hist"),
     "source_refs": sql("SELECT ev AS evidence_id, refs FROM refs"),
     "unallocated_refs": sql("""SELECT ev AS evidence_id, string_agg('L' || line, ',' ORDER BY line) AS refs FROM (SELECT ev, line, row_number() OVER (PARTITION BY ev ORDER BY line) AS n FROM (
- SELECT ev, line FROM rows_ UNION ALL SELECT fnd.ev, base.line FROM fnd JOIN base ON base.e = fnd.e AND base.month = cur WHERE kind = 'unallocated_spend' AND ("""
+ SELECT ev, line FROM rows_ UNION SELECT fnd.ev, base.line FROM fnd JOIN base ON base.e = fnd.e AND base.month = cur WHERE kind = 'unallocated_spend' AND ("""
                             + " OR ".join(f"EXISTS (SELECT 1 FROM mv WHERE mv.un AND mv.e = base.e AND mv.dim = '{x}' AND mv.label = base.{x})" for x in DIMS)
                             + "))) WHERE n <= 20 GROUP BY ev", "untagged"),
     "export_totals": sql(f"SELECT e AS tenant_id, sum(n)::BIGINT AS lines_seen, sum(n)::BIGINT AS records, {dbl('sum(c)')} AS total_cost FROM tot GROUP BY e"),
@@ -286,13 +286,13 @@ ORACLE: dict[str, str] = {
    FROM (SELECT *, CASE dim WHEN 'tag' THEN 'team tag' ELSE replace(dim, '_', ' ') END AS dn FROM comp) GROUP BY ev) pt ON pt.ev = gat.ev
  LEFT JOIN mlab ON mlab.code = list_filter(string_split(merged, ','), lambda x: x <> 'owner_confirmation')[1]"""),
     # ---- stored answers
-    "validate_answers": sql("""SELECT run_id, at AS created_at, CAST(bad IS NULL AS BIGINT) AS valid, coalesce(bad, '-') AS invalid_question, CASE WHEN bad IS NULL THEN cat ELSE '-' END AS category,
+    "validate_answers": sql("""SELECT run_id, ts_ AS created_at, CAST(bad IS NULL AS BIGINT) AS valid, coalesce(bad, '-') AS invalid_question, CASE WHEN bad IS NULL THEN cat ELSE '-' END AS category,
  CASE WHEN bad IS NULL THEN ['low', 'medium', 'high', 'critical'][CAST(round_even(urg, 0) AS INT) + 1] ELSE '-' END AS urgency FROM chk"""),
-    "latest_answers": sql("SELECT tenant_id, packet AS packet_sha256, max(at) AS created_at, arg_max(cat, at) AS category FROM calls WHERE ok GROUP BY ALL"),
-    "replay": sql("""SELECT g.run_id, g.ev AS evidence_id, CASE WHEN l.at IS NOT NULL AND l.bad IS NULL THEN l.cat ELSE '-' END AS replay_category,
- CASE WHEN l.at IS NULL THEN 'no stored answer' WHEN l.bad IS NULL THEN 'stored answer valid' ELSE 'stored answer invalid' END AS note,
- CAST(NOT (l.at IS NOT NULL AND l.bad IS NULL AND l.cat = 'INVESTIGATE') AS BIGINT) AS changed
- FROM (SELECT run_id, packet, max(at) AS ev FROM chk GROUP BY ALL) g LEFT JOIN (SELECT * FROM chk WHERE ok QUALIFY row_number() OVER (PARTITION BY run_id, packet ORDER BY at DESC) = 1) l
+    "latest_answers": sql("SELECT tenant_id, packet AS packet_sha256, max(ts_) AS created_at, arg_max(cat, ts_) AS category FROM calls WHERE ok GROUP BY ALL"),
+    "replay": sql("""SELECT g.run_id, g.ev AS evidence_id, CASE WHEN l.ts_ IS NOT NULL AND l.bad IS NULL THEN l.cat ELSE '-' END AS replay_category,
+ CASE WHEN l.ts_ IS NULL THEN 'no stored answer' WHEN l.bad IS NULL THEN 'stored answer valid' ELSE 'stored answer invalid' END AS note,
+ CAST(NOT (l.ts_ IS NOT NULL AND l.bad IS NULL AND l.cat = 'INVESTIGATE') AS BIGINT) AS changed
+ FROM (SELECT run_id, packet, max(ts_) AS ev FROM chk GROUP BY ALL) g LEFT JOIN (SELECT * FROM chk WHERE ok QUALIFY row_number() OVER (PARTITION BY run_id, packet ORDER BY ts_ DESC) = 1) l
  ON l.run_id = g.run_id AND l.packet = g.packet"""),
     "agreement": sql("""SELECT count(*) AS findings, count(*) FILTER (WHERE rule = coalesce(mcat, '-')) AS agreed, count(*) FILTER (WHERE rule <> coalesce(mcat, '-')) AS differed,
  count(*) FILTER (WHERE mcat IS NOT NULL AND mcat <> rule) AS overridden, count(*) AS review, CAST(floor(count(*) FILTER (WHERE rule = coalesce(mcat, '-')) * 100 / count(*)) AS BIGINT) AS agreed_pct,
@@ -317,14 +317,14 @@ ORACLE: dict[str, str] = {
     "run_status": sql("""SELECT run.run_id, status, seen % 7 AS rows_rejected, CASE status WHEN 'failed' THEN 1 WHEN 'insufficient_data' THEN 2 ELSE 0 END::BIGINT AS warning_count, CAST(status <> 'failed' AS BIGINT) AS completed,
  CAST(prio <> '5-LOW' AS BIGINT) AS unlocked, CASE status WHEN 'failed' THEN 'No rows could be read.' WHEN 'insufficient_data' THEN 'Nothing to compare.' ELSE '-' END AS message, coalesce(n, 0)::BIGINT AS finding_count
  FROM run LEFT JOIN (SELECT run_id, count(*) AS n FROM fd GROUP BY run_id) f ON f.run_id = run.run_id"""),
-    "run_list": sql("SELECT run.tenant_id, run_id, run.status, strftime(run.at, '%Y-%m-%d') AS created_at, filename FROM run JOIN file ON file.file_id = run.file_id WHERE run.tenant_id IN (SELECT tenant_id FROM lead)"),
+    "run_list": sql("SELECT run.tenant_id, run_id, run.status, strftime(run.ts_, '%Y-%m-%d') AS created_at, filename FROM run JOIN file ON file.file_id = run.file_id WHERE run.tenant_id IN (SELECT tenant_id FROM lead)"),
     "run_detail": sql("SELECT run.run_id, run.status AS run_status, filename, rank, p_brand || ' up' AS title, CAST(obs AS DOUBLE) AS observed_value FROM run JOIN file ON file.file_id = run.file_id JOIN fd ON fd.run_id = run.run_id"),
     "lead_portfolio": sql("""SELECT l.lead_id, l.status AS lead_status, coalesce(u.n, 0)::BIGINT AS uploads, coalesce(u.rid, '-') AS latest_run_id, coalesce(u.rs, '-') AS latest_run_status, coalesce(p.n, 0)::BIGINT AS pilot_requests, CAST(coalesce(p.m, FALSE) AS BIGINT) AS manual_review
- FROM (SELECT * FROM lead ORDER BY at DESC, lead_id LIMIT 200) l LEFT JOIN (SELECT lead_id, count(*) AS n, arg_max(run.run_id, (run.at, run.run_id)) AS rid, arg_max(run.status, (run.at, run.run_id)) AS rs FROM file JOIN run ON run.file_id = file.file_id GROUP BY lead_id) u ON u.lead_id = l.lead_id
+ FROM (SELECT * FROM lead ORDER BY ts_ DESC, lead_id LIMIT 200) l LEFT JOIN (SELECT lead_id, count(*) AS n, arg_max(run.run_id, (run.ts_, run.run_id)) AS rid, arg_max(run.status, (run.ts_, run.run_id)) AS rs FROM file JOIN run ON run.file_id = file.file_id GROUP BY lead_id) u ON u.lead_id = l.lead_id
  LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'P') AS n, bool_or(o_orderstatus = 'P') AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) p ON p.o_custkey = l.lead_id"""),
     "lead_rollup": sql("""SELECT lead_id, filename, CAST(prio <> '2-HIGH' AS BIGINT) AS consent, run.run_id, run.status AS run_status, coalesce(n, 0)::BIGINT AS findings, coalesce(rv, 0)::BIGINT AS review_required
  FROM file JOIN run ON run.file_id = file.file_id LEFT JOIN (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE rev) AS rv FROM fd GROUP BY run_id) f ON f.run_id = run.run_id WHERE lead_id IN (SELECT c_custkey FROM customer)"""),
-    "retention_due": sql("""SELECT file_id, strftime(at, '%Y-%m-%d') AS created_at, CAST(lead_id IS NOT NULL AS BIGINT) AS claimed FROM file WHERE NOT gone AND at < DATE '1999-01-01' - CASE WHEN lead_id IS NULL THEN 7 ELSE 30 END ORDER BY at, file_id LIMIT 100"""),
+    "retention_due": sql("""SELECT file_id, strftime(ts_, '%Y-%m-%d') AS created_at, CAST(lead_id IS NOT NULL AS BIGINT) AS claimed FROM file WHERE NOT gone AND ts_ < DATE '1999-01-01' - CASE WHEN lead_id IS NULL THEN 7 ELSE 30 END ORDER BY ts_, file_id LIMIT 100"""),
     "erase": sql("""SELECT 'source_file' AS table_name, count(*) AS rows FROM file WHERE status <> 'rejected' UNION ALL SELECT 'snapshot_run', count(*) FROM orders WHERE o_orderstatus <> 'P'
  UNION ALL SELECT 'snapshot_finding', count(*) FROM fd JOIN run ON run.run_id = fd.run_id WHERE run.status <> 'failed' UNION ALL SELECT 'model_call', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'
  UNION ALL SELECT 'consent', count(*) FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'audit_event', count(*) FROM orders WHERE o_orderstatus = 'P'"""),

@@ -16,6 +16,7 @@ from tallyframe.plans import desk, exports_from_star, star
 from tallyframe.plans.analyze import Analysis
 from tallyframe.plans.ingest import ParsedExports
 from tallyframe.schema import KEYS, PACKET_V2
+from tallyframe.session import cut
 from tallyframe.sources import landing
 from tallyframe.sources.exports import parse_lines
 
@@ -48,16 +49,9 @@ def analysis(spark: SparkSession, sf: str, variant: str = "tagged") -> Analysis:
     return _once(spark, ("analysis", sf, variant), build)
 
 
-def daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items at day grain, one export per region."""
-    line = star.table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), F.col("l_shipdate").cast("date").alias("period_start"))
-    rows = star.records(spark, sf).drop("period_start").join(line, "line")
-    return rows
-
-
 def daily_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, ("daily", sf), lambda: Analysis(daily(spark, sf), star.profile(star.records(spark, sf)), star.TODAY).coverage)
+    return _once(spark, ("daily", sf), lambda: cut(
+        periods.month_coverage(periods.day_totals(star.records(spark, sf, grain="day")), star.TODAY)))
 
 
 def parsed(spark: SparkSession, sf: str, kind: str) -> ParsedExports:

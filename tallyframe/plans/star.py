@@ -36,7 +36,7 @@ def environment() -> Column:
             .otherwise("dev-sandbox"))
 
 
-def records(spark: SparkSession, sf_dir: str, variant: str = "tagged") -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, variant: str = "tagged", grain: str = "month") -> DataFrame:
     """cost_record from lineitem and its dimensions.
 
     variant "tagged": every row has an owner tag. "untagged": one segment has none. "launch": rows of
@@ -63,7 +63,7 @@ def records(spark: SparkSession, sf_dir: str, variant: str = "tagged") -> DataFr
     )
     return rows.select(
         F.col("r_name").alias("tenant_id"), F.col("r_name").alias("export_id"),
-        month.alias("period_start"), month.alias("month"),
+        (day if grain == "day" else month).alias("period_start"), month.alias("month"),
         service.alias("service"), F.col("p_type").alias("usage_type"), F.col("s_name").alias("account"),
         F.col("n_name").alias("region"), tag.alias("tag"), environment().alias("environment"),
         F.col("l_returnflag").alias("charge_type"),

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyframe.functions.bind import let
 from tallyframe.functions.cells import WHITESPACE, strip
 from tallyframe.schema import MAX_COLUMNS, MAX_FIELD_CHARS, MAX_LINES
 from tallyframe.sources.landing import DELIMITERS
@@ -87,13 +88,6 @@ def is_blank(record: Column, delimiter: Column) -> Column:
     return by_delimiter(delimiter, lambda d: record.rlike(blank_pattern(d)))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value computed once. A lambda re-evaluates every outer expression it mentions for
-    each element, and the optimizer inlines a column that is used once, so a bound variable is the
-    only form that stays linear."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sample_text(text: Column) -> Column:
     """The first lines that are not blank, the sample delimiters are judged on."""
     head = F.regexp_extract(text, rf"\A(?:(?:(?!{SAMPLE_NEWLINE})[\s\S])*+(?:{SAMPLE_NEWLINE}|\z)){{0,{SAMPLE_LINES}}}+", 0)
