@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.cells import is_unallocated_label
 from tallyframe.schema import KEYS
+from tallyframe.session import spread
 
 #: Report date of the star exports: October 2001 is their last complete month.
 TODAY = date(2001, 11, 15)
@@ -21,8 +22,15 @@ UNTAGGED_SEGMENT = "HOUSEHOLD"
 DIMENSIONS_AVAILABLE = ["service", "account", "region", "usage_type", "tag", "environment", "charge_type"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Tables whose rows cost much work each; they are spread when they come as too few files.
+HEAVY = {"lineitem", "documents", "pages"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return spread(df) if name in HEAVY else df
 
 
 def line_cost() -> Column:
