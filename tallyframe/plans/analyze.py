@@ -22,9 +22,10 @@ class Analysis:
     """Lazily derived tables of one batch of exports; each property is one table."""
 
     def __init__(self, records: DataFrame, profile: DataFrame, today: date | Column,
-                 issues: DataFrame | None = None, cut: bool = True) -> None:
+                 issues: DataFrame | None = None, cut: bool = True, coverage: DataFrame | None = None) -> None:
         self.records, self._profile, self.today, self._issues = records, profile, today, issues
         self._cut = session.cut if cut else (lambda df: df)
+        self._coverage = coverage
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -32,7 +33,7 @@ class Analysis:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return self._cut(periods.month_coverage(periods.day_totals(self.records), self.today))
+        return self._coverage if self._coverage is not None else self._cut(periods.month_coverage(periods.day_totals(self.records), self.today))
 
     @cached_property
     def focus(self) -> DataFrame:

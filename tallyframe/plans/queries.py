@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import cells, labels
 from tallyframe.functions.numeric import plain
 from tallyframe.operators import (
-    answers, cards, decompose, detect, gate, history, monthly, packets, periods, portfolio, quality, records, reports, summary,
+    answers, cards, detect, gate, history, monthly, packets, periods, portfolio, quality, records, reports, summary,
 )
 from tallyframe.plans import desk, exports_from_star, star
 from tallyframe.plans.analyze import Analysis
@@ -45,7 +45,8 @@ def _once(spark: SparkSession, key: tuple, build: Callable[[], object]) -> objec
 def analysis(spark: SparkSession, sf: str, variant: str = "tagged") -> Analysis:
     def build() -> Analysis:
         rows = star.records(spark, sf, variant)
-        return Analysis(rows, star.profile(rows), star.TODAY)
+        coverage = cut(periods.month_coverage(periods.day_totals(rows), star.TODAY))
+        return Analysis(rows, star.profile_of(coverage), star.TODAY, coverage=coverage)
     return _once(spark, ("analysis", sf, variant), build)
 
 

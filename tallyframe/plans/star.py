@@ -84,10 +84,18 @@ def records(spark: SparkSession, sf_dir: str, variant: str = "tagged", grain: st
 
 def profile(records_df: DataFrame) -> DataFrame:
     """What parsing would say about these exports; the parts records alone determine."""
-    return records_df.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("lines_accepted"), F.sum("cost").alias("total_cost"),
-        F.max("currency").alias("currency"),
-    ).select(
+    return _profile(records_df.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("lines_accepted"), F.sum("cost").alias("total_cost")))
+
+
+def profile_of(coverage: DataFrame) -> DataFrame:
+    """The same from the month table, which already holds the counts and sums."""
+    return _profile(coverage.groupBy(*KEYS).agg(
+        F.sum("records").alias("lines_accepted"), F.sum("total").alias("total_cost")))
+
+
+def _profile(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("currency", F.lit("USD")).select(
         *KEYS, F.lit("long").alias("layout"), F.lit("service").alias("primary_dimension"),
         F.lit("Service").alias("dimension_label"),
         F.array(*map(F.lit, DIMENSIONS_AVAILABLE)).alias("dimensions_available"), "currency",
