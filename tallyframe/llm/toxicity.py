@@ -28,7 +28,7 @@ from .common import append_column, read
 from .learn import adam, labelled_sample, logistic, remainder, sigmoid
 
 #: Bounds of the sample that is learned from: documents of each class, characters of each, words and stems with a weight of their own.
-PER_CLASS, MAX_CHARS, MAX_FORMS = 800, 20_000, 100_000
+PER_CLASS, MAX_CHARS, MAX_FORMS = 600, 12_000, 100_000
 #: Lengths of the word beginnings that are features, and the fewest toxic documents that a cover word marks anew.
 STEMS, LEAST = (4, 5), 3
 #: Toxic from this score on; a word is offending from this marginal on; share of other documents a cover word may occur in,
