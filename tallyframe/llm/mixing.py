@@ -47,13 +47,13 @@ _UNIFORM = "conv(substring(md5(concat_ws('|', '{seed}', id_text, doc_key, cast(p
 
 
 def copies_column(rate: str, seed: str = SEED) -> str:
-    """SQL: the Poisson count for a row with columns id_text and doc_key. For each part, the number of steps k with
-    CDF(k) <= u is the inverse at u; the running sum adds mean^k / k! * exp(-mean)."""
-    uniform = _UNIFORM.format(seed=seed)
-    mean = f"({rate} / greatest(ceil({rate} / {PART}D), 1))"
-    inverse = (f"aggregate(sequence(1, {STEPS}), named_struct('p', exp(-{mean}), 'c', exp(-{mean}), 'n', if(exp(-{mean}) <= {uniform}, 1L, 0L)), "
-               f"(s, k) -> named_struct('p', s.p * {mean} / k, 'c', s.c + s.p * {mean} / k, 'n', s.n + if(s.c + s.p * {mean} / k <= {uniform}, 1L, 0L)), s -> s.n)")
-    return f"aggregate(transform(sequence(1, cast(greatest(ceil({rate} / {PART}D), 1) AS int)), part -> {inverse}), 0L, (a, n) -> a + n)"
+    """SQL: the Poisson count for a row with columns id_text and doc_key. Each part has a uniform number u, hashed once; the
+    number of k with CDF(k) <= u is the inverse at u. The running sum adds mean^k / k! * exp(-mean)."""
+    parts = f"greatest(ceil({rate} / {PART}D), 1)"
+    uniforms = f"transform(sequence(1, cast({parts} AS int)), part -> {_UNIFORM.format(seed=seed)})"
+    inverse = (f"aggregate(sequence(1, {STEPS}), named_struct('p', exp(-d.m), 'c', exp(-d.m), 'n', if(exp(-d.m) <= d.u, 1L, 0L)), "
+               "(s, k) -> named_struct('p', s.p * d.m / k, 'c', s.c + s.p * d.m / k, 'n', s.n + if(s.c + s.p * d.m / k <= d.u, 1L, 0L)), s -> s.n)")
+    return f"aggregate(transform({uniforms}, u -> named_struct('u', u, 'm', {rate} / {parts})), 0L, (a, d) -> a + {inverse})"
 
 
 def counted(docs: DataFrame, rate: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
@@ -74,10 +74,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     found = counted(plain, rates(plain, weights, total, source_col), id_col, text_col, source_col, seed)
     rows = found.where(F.col("_mix.copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix.copies") - 1)))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("_mix.doc_key"), F.col("copy").cast("string")).cast("binary"))).drop("_mix")
-    # The key is a uniform hash, so equal ranges of its first bits are equal shares: no sampling pass is needed.
+    # The key is a uniform hash, so equal ranges of its first bits are equal shares, and no sampling pass is needed to find ranges.
     n = partitions(spark)
     share = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * n / 4294967296.0).cast("int")
-    return rows.repartitionByRange(n, share).sortWithinPartitions("shuffle_key")
+    return rows.repartitionById(n, share).sortWithinPartitions("shuffle_key")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
