@@ -103,6 +103,17 @@ def latest_answers(calls: DataFrame) -> DataFrame:
     )
 
 
+def one_per_packet(valid: DataFrame, question_set: str | None = None, provider: str | None = None, model: str | None = None) -> DataFrame:
+    """The answer a packet may use: of the wanted question set, provider and model (None: any), the latest. A packet
+    asked of several models has one answer here, so a join with it cannot multiply findings."""
+    wanted = {"question_set_version": question_set, "provider": provider, "model_requested": model}
+    for name, value in wanted.items():
+        if value is not None:
+            valid = valid.where(F.col(name) == value)
+    newest = F.struct("created_at", *wanted)  # ties go to the largest names
+    return valid.groupBy("tenant_id", "packet_sha256").agg(F.max_by("answer", newest).alias("answer"))
+
+
 # ---- fixed values: keywords that hint at an owner, first match wins --------------------------------
 OWNER_HINTS = [
     ("sagemaker|bedrock|gpu", "ml_ai"),

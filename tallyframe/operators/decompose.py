@@ -50,8 +50,9 @@ def movement_cells(findings: DataFrame, records: DataFrame, profile: DataFrame)
         .groupBy(*KEYS, "evidence_id", "finding_delta", "dimension", "label")
         .agg(F.coalesce(F.sum(F.when(~now, cost)), zero).alias("cost_b"),
              F.coalesce(F.sum(F.when(now, cost)), zero).alias("cost_c"),
-             F.coalesce(F.try_sum(F.when(~now, qty)), zero).alias("qty_b"),
-             F.coalesce(F.try_sum(F.when(now, qty)), zero).alias("qty_c"),
+             # Without rows the sum is zero; a sum too large for its type is unknown.
+             F.when(F.max(~now), F.try_sum(F.when(~now, qty))).otherwise(zero).alias("qty_b"),
+             F.when(F.max(now), F.try_sum(F.when(now, qty))).otherwise(zero).alias("qty_c"),
              F.bool_and("quantified").alias("quantified"))
     )
 
@@ -102,15 +103,18 @@ def usage_split(cells: DataFrame) -> DataFrame:
     in one month only is new or retired usage, so all of its money is volume.
     """
     cost_b, cost_c = F.col("cost_b").try_cast("decimal(20,6)"), F.col("cost_c").try_cast("decimal(20,6)")
-    qty_b, qty_c = F.col("qty_b").try_cast("decimal(24,6)"), F.col("qty_c").try_cast("decimal(24,6)")
+    # Only quotients of quantities matter, so very large ones are counted in millions to fit a narrow type.
+    million = F.lit(1_000_000).cast("decimal(7,0)")
+    unit_size = F.when(F.greatest("qty_b", "qty_c") >= F.lit(10 ** 17).cast("decimal(38,15)"), million).otherwise(F.lit(1).cast("decimal(7,0)"))
+    qty_b, qty_c = ((F.col(c) / unit_size).try_cast("decimal(24,6)") for c in ("qty_b", "qty_c"))
     both = (F.col("qty_b") > 0) & (F.col("qty_c") > 0)
     money_delta = (F.col("cost_c") - F.col("cost_b")).cast("decimal(38,6)")
     volume = F.when(both, ((qty_c - qty_b) * cost_b / qty_b).cast("decimal(38,6)")).otherwise(money_delta)
     per_unit = (
         cells.where(F.col("dimension") == UNIT)
         .withColumn("volume", volume).withColumn("rate", F.when(both, money_delta - F.col("volume")).otherwise(F.lit(0)))
-        .withColumn("rate_b", F.when(both, F.bround(cost_b / qty_b, 6)).cast("decimal(28,6)"))
-        .withColumn("rate_c", F.when(both, F.bround(cost_c / qty_c, 6)).cast("decimal(28,6)"))
+        .withColumn("rate_b", F.when(both, F.bround(cost_b / qty_b / unit_size, 6)).cast("decimal(28,6)"))
+        .withColumn("rate_c", F.when(both, F.bround(cost_c / qty_c / unit_size, 6)).cast("decimal(28,6)"))
     )
     single = (F.count(F.lit(1)) == 1) & F.bool_and(both)
 
@@ -118,7 +122,7 @@ def usage_split(cells: DataFrame) -> DataFrame:
         return F.when(single, F.first(value))
 
     split = per_unit.groupBy(*KEYS, "evidence_id").agg(
-        F.bool_and("quantified").alias("_all"),
+        F.bool_and(F.col("quantified") & F.col("qty_b").isNotNull() & F.col("qty_c").isNotNull()).alias("_all"),
         F.bround(F.sum("volume"), 2).cast("decimal(28,2)").alias("volume_effect"),
         F.bround(F.sum("rate"), 2).cast("decimal(28,2)").alias("rate_effect"),
         only(F.col("label")).alias("unit"),
@@ -127,7 +131,7 @@ def usage_split(cells: DataFrame) -> DataFrame:
         only(F.col("rate_b")).alias("rate_baseline"), only(F.col("rate_c")).alias("rate_current"),
     ).where(F.col("_all") & F.col("volume_effect").isNotNull()).drop("_all")
     quantity_b = F.nullif(F.col("quantity_baseline"), F.lit(0).cast("decimal(28,2)"))
-    moved = F.bround(F.col("quantity_current").cast("decimal(24,6)") / quantity_b.cast("decimal(24,6)") - 1, 4)
+    moved = F.bround(F.col("quantity_current") / quantity_b - 1, 4)
     return split.select(
         *KEYS, "evidence_id",
         F.struct(

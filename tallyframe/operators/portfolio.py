@@ -133,7 +133,7 @@ def retention_due(files: DataFrame, now: Column, days: int = RETENTION_DAYS, ano
     """Raw files past their window (shorter where nobody claimed the upload), oldest first."""
     keep = F.when(F.col("lead_id").isNull(), anonymous_days).otherwise(days)
     return (
-        files.where(F.col("raw_deleted_at").isNull() & (F.col("created_at") < F.dateadd(now, -keep).cast("timestamp_ntz")))
+        files.where(F.col("raw_deleted_at").isNull() & (F.col("created_at") < now.cast("timestamp_ntz") - F.make_dt_interval(keep)))
         .orderBy("created_at", "file_id").limit(n)
         .select("tenant_id", "file_id", "created_at", F.col("lead_id").isNotNull().alias("claimed"))
     )

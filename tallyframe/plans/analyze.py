@@ -127,7 +127,8 @@ class Analysis:
         return packets.safe_labels(self.findings, self.moves, with_components=True)
 
     def with_answers(self, calls: DataFrame | None = None, permission: DataFrame | None = None,
-                     version: str = PACKET_V1) -> DataFrame:
+                     version: str = PACKET_V1, question_set: str | None = None, provider: str | None = None,
+                     model: str | None = None) -> DataFrame:
         """Findings with packet hash, the valid stored answer they may use, or why there is none.
 
         `permission` has one row per export with `unavailable_reason` (NULL = answers may be used).
@@ -141,7 +142,8 @@ class Analysis:
         if calls is None:
             none = F.lit(None).cast(_ANSWER_STRUCT)
             return base.withColumn("answer", none).withColumnRenamed("_blocked", "unavailable_reason")
-        latest = answers.validate_answers(answers.latest_answers(calls)).where("valid").select(
+        valid = answers.validate_answers(answers.latest_answers(calls)).where("valid")
+        latest = answers.one_per_packet(valid, question_set, provider, model).select(
             "tenant_id", "packet_sha256", F.col("answer").alias("_answer"))
         return (
             base.join(latest, ["tenant_id", "packet_sha256"], "left")

@@ -82,7 +82,7 @@ QUESTION_KEYS = [
     "primary_missing_evidence", "evidence_sufficient", "needs_human_review", "change_material",
 ]
 
-PARSER_VERSION = "ce-csv/3"
+PARSER_VERSION = "tallyframe-delimited-2"
 PACKET_V1 = "ep/1"
 PACKET_V2 = "ep/2"
 

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Tenants and exports are text, also where all of them look like numbers or dates.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # The JVM does not compile methods above this many bytes; wide projections (parsing a line into
     # thirty typed columns) then run much faster split into small generated methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -29,7 +31,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder the cluster names. One of this machine's own only serves a session that runs on this
+    machine alone, as in tests; on a cluster executors would each write to their own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -37,6 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     return sc.getCheckpointDir()
 

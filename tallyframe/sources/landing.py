@@ -24,10 +24,18 @@ LOAD_MESSAGES = {
 }
 
 
+#: Owner of files whose path names no tenant: they are analysed and reported, but nobody's.
+NO_TENANT = "_unassigned"
+
+
+def tenant(path: str = "path") -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(path, TENANT_IN_PATH, 1), F.lit("")), F.lit(NO_TENANT))
+
+
 def with_identity(raw: DataFrame) -> DataFrame:
     """Tenant from the path and the content hash that names the export."""
     return raw.select(
-        F.regexp_extract("path", TENANT_IN_PATH, 1).alias("tenant_id"), F.sha2("content", 256).alias("export_id"),
+        tenant().alias("tenant_id"), F.sha2("content", 256).alias("export_id"),
         "path", "length", "modificationTime", "content")
 
 
@@ -41,7 +49,7 @@ def read_landing(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES
 def oversized(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.where(F.col("length") > max_bytes).select(
-        F.regexp_extract("path", TENANT_IN_PATH, 1).alias("tenant_id"), "path", "length",
+        tenant().alias("tenant_id"), "path", "length",
         F.lit("file_too_large").alias("code"), F.lit(LOAD_MESSAGES["file_too_large"]).alias("message"))
 
 

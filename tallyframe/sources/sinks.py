@@ -25,10 +25,15 @@ def write_run(tables: dict[str, DataFrame], out: str) -> None:
 
 
 def read_table(spark: SparkSession, out: str, name: str) -> DataFrame | None:
-    """A result table with its keys as text, or None before the first write."""
+    """A result table with its keys as text, or None before the first write.
+
+    Keys stand in the folder names. The session does not infer their types (`session.RUNTIME_CONF`), so that
+    a tenant `007` stays what it was."""
     path = f"{out.rstrip('/')}/{name}"
     try:
         df = spark.read.option("basePath", path).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # an unreadable table is an error, not an empty one
+            raise
         return None
     return df.select(*[df[c].cast("string").alias(c) if c in KEYS else df[c] for c in df.columns])
