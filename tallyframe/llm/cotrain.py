@@ -156,10 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, unlabell
         F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id").distinct()
     wanted = bare.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).withColumn("y", F.lit(-1))
     named = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in rows], "doc_id long, y int").unionByName(wanted.select(F.col("doc_id").cast("long"), "y"))
-    picked = docs.join(F.broadcast(named.select(F.col("doc_id").alias("_id"), "y")), F.col("doc_id") == F.col("_id")).select(
-        "doc_id", "text", F.col("source").cast("string"), F.col("lang").cast("string"), "y").collect()  # at most 2 * per_class + unlabelled ids
-    picked = [r for r in picked if r["text"] is not None]
-    picked.sort(key=lambda r: (r["doc_id"], r["text"]))
+    found = docs.join(F.broadcast(named.select(F.col("doc_id").alias("_id"), "y")), F.col("doc_id") == F.col("_id")).where(
+        F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    row = F.struct("text", F.col("source").cast("string"), F.col("lang").cast("string"), "y")
+    # At most 2 * per_class + unlabelled ids; rows that repeat an id count as the one with the smallest text.
+    picked = found.groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").orderBy("doc_id").collect()
     aside = np.array([crc32(f"aside {r['doc_id']}".encode()) % 4 == 0 and r["y"] >= 0 for r in picked])
     return CoTrained([r["text"].encode() for r in picked], [r["source"] for r in picked], [r["lang"] for r in picked], np.array([r["y"] for r in picked]), aside, float(share))
 

@@ -15,7 +15,8 @@ def remainder(id_col: str, by: int) -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Column, per_class: int, max_chars: int) -> list:
     """Rows (doc_id, text, y) to learn from: of each class the `per_class` with the smallest id hashes among
     labelled rows where `train` holds and the text, which is at most `max_chars` long, is not null. Both bounds
-    only limit what a model is fitted on. Copies of a text count once; a doc with contradicting labels is left out."""
+    only limit what a model is fitted on. Copies of a text count once, rows that repeat an id count as the one with
+    the smallest text; a doc with contradicting labels is left out."""
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     marks = marks.groupBy("_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     texts = docs.select("doc_id", "text").where(train & F.col("text").isNotNull() & (F.length("text") <= max_chars))
@@ -24,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Col
     for y in (0, 1):
         some = ids.where(F.col("y") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")  # at most 2 * per_class ids
+    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most 2 * per_class
     return sorted({r["text"]: r for r in sorted(rows.collect(), key=lambda r: -r["doc_id"])}.values(), key=lambda r: r["doc_id"])
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tallyframe.llm import chat, cotrain, langid, mixing, toxicity, wu_manber
-from tallyframe.llm.learn import remainder
+from tallyframe.llm.learn import labelled_sample, remainder
 
 SF = "/root/testdata/sf0.01"
 
@@ -143,6 +143,17 @@ def test_language(spark, tables):
     assert {r.language.lang for r in langid.identify(docs.limit(5), nothing).collect()} == {"und"}
 
 
+def test_samples_hold_an_id_once(spark):
+    docs = spark.createDataFrame([(i % 5 if i < 400 else i, f"word {i:04d}", "en") for i in range(420)], "doc_id long, text string, lang string")
+    labels = spark.range(0, 420).selectExpr("id AS doc_id", "id % 2 AS toxic")
+    some = labelled_sample(docs, labels, "toxic", remainder("doc_id", 3) >= 0, 12, 100)
+    assert len({r["doc_id"] for r in some}) == len(some) == 24  # 12 of the 13 even ids, and all 12 odd ones
+    assert all(r["text"] == f"word {r['doc_id']:04d}" for r in some)
+    rows = langid.calibration_rows(docs, ["en"], 10)
+    assert len(rows) == len({r["text"] for r in rows}) == 10
+    assert len(langid.calibration_rows(docs, ["en"], 100)) == 25 and langid.calibration_rows(docs, ["xx"]) == []
+
+
 def test_gram_counts_cover_all_rows(spark):
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("abab", "x"), ("ab", "x"), (None, "x"), ("ab", None), ("Ab--ab", "y")])], "doc_id long, text string, lang string")
     counts = {(r.lang, r.gram): r["count"] for r in langid.count_grams(docs).collect()}
