@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, unlabell
     named = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in rows], "doc_id long, y int").unionByName(wanted.select(F.col("doc_id").cast("long"), "y"))
     found = docs.join(F.broadcast(named.select(F.col("doc_id").alias("_id"), "y")), F.col("doc_id") == F.col("_id")).where(
         F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    row = F.struct("text", F.col("source").cast("string"), F.col("lang").cast("string"), "y")
+    row = F.struct("text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "y")
     # At most 2 * per_class + unlabelled ids; rows that repeat an id count as the one with the smallest text.
     picked = found.groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").orderBy("doc_id").collect()
     aside = np.array([crc32(f"aside {r['doc_id']}".encode()) % 4 == 0 and r["y"] >= 0 for r in picked])
