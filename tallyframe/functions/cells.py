@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyframe.schema import (
-    COST, MAX_ABS_COST, MAX_ABS_QUANTITY, MAX_LABEL_CHARS, QUANTITY,
+    COST, MAX_ABS_COST, MAX_ABS_QUANTITY, QUANTITY,
 )
 
 # ---- fixed values: whitespace, number, date and header patterns --------------------------------
@@ -131,7 +131,7 @@ def header_label(header: Column) -> Column:
 
 
 def clean_label(raw: Column) -> Column:
-    return F.substring(strip(F.regexp_replace(raw, r"[\x00-\x1f\x7f]", " ")), 1, MAX_LABEL_CHARS)
+    return strip(F.regexp_replace(raw, r"[\x00-\x1f\x7f]", " "))
 
 
 def is_unallocated_label(label: Column) -> Column:

@@ -15,8 +15,8 @@ def cents(amount: Column) -> Column:
 
 
 def ratio(part: Column, whole: Column, places: int = 4) -> Column:
-    """part / whole rounded half-even, NULL unless whole > 0."""
-    quotient = part.cast(RATIO_TYPE) / F.nullif(whole.cast(RATIO_TYPE), F.lit(0).cast(RATIO_TYPE))
+    """part / whole rounded half-even, NULL unless whole > 0 and both fit the type."""
+    quotient = part.try_cast(RATIO_TYPE) / F.nullif(whole.try_cast(RATIO_TYPE), F.lit(0).cast(RATIO_TYPE))
     return F.when(whole > 0, F.bround(quotient, places)).cast(f"decimal(20,{places})")
 
 

@@ -78,7 +78,7 @@ def ref_text(ref):
 
 def covered_spend(focus: DataFrame) -> DataFrame:
     """Mean monthly total over complete months (all months when none is), half-even cents."""
-    mean = F.col("covered_total").cast("decimal(24,6)") / F.col("covered_months").cast("decimal(10,0)")
+    mean = F.col("covered_total").try_cast("decimal(24,6)") / F.col("covered_months").cast("decimal(10,0)")
     return focus.select(*KEYS, cents(mean).alias("covered_monthly_spend"))
 
 

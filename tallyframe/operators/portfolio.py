@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAD_LIMIT = 200
-RETENTION_DAYS, ANONYMOUS_DAYS, RETENTION_BATCH = 30, 7, 100
+RETENTION_DAYS, ANONYMOUS_DAYS = 30, 7
 
 
 def tenants_for(leads: DataFrame, emails: DataFrame) -> DataFrame:
@@ -78,29 +77,28 @@ def run_detail(runs: DataFrame, files: DataFrame, findings: DataFrame) -> DataFr
     return head.join(findings, ["tenant_id", "run_id"]).orderBy("run_id", "rank")
 
 
-def lead_portfolio(leads: DataFrame, files: DataFrame, runs: DataFrame, pilots: DataFrame, n: int = LEAD_LIMIT) -> DataFrame:
-    """Newest `n` leads with uploads, latest run and pilot interest.
+def lead_portfolio(leads: DataFrame, files: DataFrame, runs: DataFrame, pilots: DataFrame, n: int | None = None) -> DataFrame:
+    """All leads, or the newest `n` in order, with uploads, latest run and pilot interest.
 
-    Only the newest leads pass the limit, a distributed top-n; the other tables are then reduced to
-    those leads before they are grouped. `n` rows are the proven bound of that broadcast.
+    With `n` only those leads pass a distributed top-n, and the other tables are reduced to them before they are grouped.
     """
-    newest = leads.orderBy(F.desc("created_at"), "lead_id").limit(n)
-    ids = F.broadcast(newest.select("lead_id"))
+    newest = leads if n is None else leads.orderBy(F.desc("created_at"), "lead_id").limit(n)
+    ids = newest.select("lead_id")
     mine = files.join(ids, "lead_id", "left_semi")
     uploads = mine.groupBy("lead_id").agg(F.count(F.lit(1)).alias("uploads"))
     latest = runs.join(mine.select("tenant_id", "file_id", "lead_id"), ["tenant_id", "file_id"]).groupBy("lead_id").agg(
         F.max_by(F.struct("run_id", "status"), F.struct("created_at", "run_id")).alias("latest_run"))
     wanted = pilots.join(ids, "lead_id", "left_semi").groupBy("lead_id").agg(
         F.count_if(~F.col("manual_review_only")).alias("pilot_requests"), F.bool_or("manual_review_only").alias("manual_review"))
-    return (
+    found = (
         newest.join(uploads, "lead_id", "left").join(latest, "lead_id", "left").join(wanted, "lead_id", "left")
         .select("lead_id", "tenant_id", "email", F.col("status").alias("lead_status"), "created_at",
                 F.coalesce("uploads", F.lit(0)).cast("bigint").alias("uploads"),
                 F.col("latest_run.run_id").alias("latest_run_id"), F.col("latest_run.status").alias("latest_run_status"),
                 F.coalesce("pilot_requests", F.lit(0)).cast("bigint").alias("pilot_requests"),
                 F.coalesce("manual_review", F.lit(False)).alias("manual_review"))
-        .orderBy(F.desc("created_at"), "lead_id")
     )
+    return found if n is None else found.orderBy(F.desc("created_at"), "lead_id")
 
 
 def lead_rollup(leads: DataFrame, files: DataFrame, runs: DataFrame, findings: DataFrame, consents: DataFrame,
@@ -129,14 +127,12 @@ def lead_detail(rollup: DataFrame) -> DataFrame:
 
 
 def retention_due(files: DataFrame, now: Column, days: int = RETENTION_DAYS, anonymous_days: int = ANONYMOUS_DAYS,
-                  n: int = RETENTION_BATCH) -> DataFrame:
-    """Raw files past their window (shorter where nobody claimed the upload), oldest first."""
+                  n: int | None = None) -> DataFrame:
+    """All raw files past their window (shorter where nobody claimed the upload), or the oldest `n` in order."""
     keep = F.when(F.col("lead_id").isNull(), anonymous_days).otherwise(days)
-    return (
-        files.where(F.col("raw_deleted_at").isNull() & (F.col("created_at") < now.cast("timestamp_ntz") - F.make_dt_interval(keep)))
-        .orderBy("created_at", "file_id").limit(n)
-        .select("tenant_id", "file_id", "created_at", F.col("lead_id").isNotNull().alias("claimed"))
-    )
+    due = files.where(F.col("raw_deleted_at").isNull() & (F.col("created_at") < now.cast("timestamp_ntz") - F.make_dt_interval(keep)))
+    return (due if n is None else due.orderBy("created_at", "file_id").limit(n)).select(
+        "tenant_id", "file_id", "created_at", F.col("lead_id").isNotNull().alias("claimed"))
 
 
 def retention_events(due: DataFrame, days: int = RETENTION_DAYS, anonymous_days: int = ANONYMOUS_DAYS) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators.answers import validate_answers
+from tallyframe.operators.ranks import middles
 from tallyframe.schema import KEYS
 
 
@@ -19,7 +20,7 @@ def agreement(decisions: DataFrame) -> DataFrame:
     """One row: agreement, overrides, reviews and the spread of confidence.
 
     decisions: rule_category, model_category, final_category, confidence, review_required. The median
-    is the upper middle element; percentile_disc keeps value counts, so nothing is collected.
+    is the upper middle element, found over ranges of the values.
     """
     rule, model = F.col("rule_category"), F.coalesce("model_category", F.lit("-"))
     return decisions.agg(
@@ -28,9 +29,8 @@ def agreement(decisions: DataFrame) -> DataFrame:
         F.count_if((model != "-") & (model != F.col("final_category"))).alias("overridden"),
         F.count_if("review_required").alias("review"),
         F.min("confidence").alias("confidence_min"),
-        F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -confidence)").alias("confidence_median"),
         F.max("confidence").alias("confidence_max"),
-    ).withColumn("agreed_pct", F.floor(F.col("agreed") * 100 / F.greatest("findings", F.lit(1))).cast("bigint"))
+    ).withColumn("confidence_median", middles(decisions, [], "confidence").select("upper").scalar()).withColumn("agreed_pct", F.floor(F.col("agreed") * 100 / F.greatest("findings", F.lit(1))).cast("bigint"))
 
 
 def reason_counts(decisions: DataFrame) -> DataFrame:
@@ -44,17 +44,25 @@ def variant_report(answered: DataFrame) -> DataFrame:
     answered: variant, dimension, rule_category, answer (typed).
     """
     a = F.col("answer")
-    half = lambda c: F.round(F.percentile(c, F.lit(0.5)), 3)
-    return answered.where(a.isNotNull()).groupBy("variant").agg(
+    found = answered.where(a.isNotNull())
+
+    def half(value: Column, name: str) -> DataFrame:
+        middle = middles(found.select("variant", value.alias("_value")), ["variant"], "_value")
+        return middle.select(F.col("variant").alias(f"_of{name}"), F.round(F.col("lower") * 0.5 + F.col("upper") * 0.5, 3).alias(name))
+
+    confidence = half(a["category_confidence"], "median_confidence")
+    owner = half(F.when(F.col("dimension") == "service", a["owner_confidence"]), "_owner")
+    counts = found.groupBy("variant").agg(
         F.count(F.lit(1)).alias("findings"),
-        half(a["category_confidence"]).alias("median_confidence"),
         F.min(a["category_confidence"]).alias("confidence_min"), F.max(a["category_confidence"]).alias("confidence_max"),
         F.count_distinct(a["category"]).alias("categories_used"),
-        half(F.when(F.col("dimension") == "service", a["owner_confidence"])).alias("_owner"),
         F.count_distinct(F.bround(a["evidence_sufficient"], 2)).alias("sufficiency_distinct"),
         F.count_if(a["needs_human_review"] >= 0.5).alias("needs_review"),
         F.count_if(a["category"] == F.col("rule_category")).alias("agreed"),
-    ).withColumn("median_owner_confidence", F.coalesce("_owner", F.lit(0.0))).drop("_owner").withColumn(
+    )
+    joined = (counts.join(confidence, F.col("variant").eqNullSafe(F.col("_ofmedian_confidence")), "left")
+              .join(owner, F.col("variant").eqNullSafe(F.col("_of_owner")), "left").drop("_ofmedian_confidence", "_of_owner"))
+    return joined.withColumn("median_owner_confidence", F.coalesce("_owner", F.lit(0.0))).drop("_owner").withColumn(
         "bars_cleared",
         sum((F.coalesce(bar, F.lit(False)).cast("int") for bar in (
             F.col("median_confidence") >= 0.60, F.col("categories_used") >= 3, F.col("sufficiency_distinct") > 1,

@@ -6,6 +6,7 @@ from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyframe import session
 from tallyframe.operators import quality, records
@@ -73,8 +74,5 @@ class ParsedExports:
 
 
 def one_per_export(files: DataFrame) -> DataFrame:
-    """Keep one landing file per (tenant, content). Only keys and paths are shuffled, never contents."""
-    from pyspark.sql import functions as F
-
-    first = files.groupBy(*KEYS).agg(F.min("path").alias("path"))
-    return files.join(first, [*KEYS, "path"], "left_semi")
+    """(tenant_id, export_id, path): one landing file per (tenant, content). Only keys and paths are shuffled, never contents."""
+    return files.groupBy(*KEYS).agg(F.min("path").alias("path"))

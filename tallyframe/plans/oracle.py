@@ -320,11 +320,11 @@ ORACLE: dict[str, str] = {
     "run_list": sql("SELECT run.tenant_id, run_id, run.status, strftime(run.ts_, '%Y-%m-%d') AS created_at, filename FROM run JOIN file ON file.file_id = run.file_id WHERE run.tenant_id IN (SELECT tenant_id FROM lead)"),
     "run_detail": sql("SELECT run.run_id, run.status AS run_status, filename, rank, p_brand || ' up' AS title, CAST(obs AS DOUBLE) AS observed_value FROM run JOIN file ON file.file_id = run.file_id JOIN fd ON fd.run_id = run.run_id"),
     "lead_portfolio": sql("""SELECT l.lead_id, l.status AS lead_status, coalesce(u.n, 0)::BIGINT AS uploads, coalesce(u.rid, '-') AS latest_run_id, coalesce(u.rs, '-') AS latest_run_status, coalesce(p.n, 0)::BIGINT AS pilot_requests, CAST(coalesce(p.m, FALSE) AS BIGINT) AS manual_review
- FROM (SELECT * FROM lead ORDER BY ts_ DESC, lead_id LIMIT 200) l LEFT JOIN (SELECT lead_id, count(*) AS n, arg_max(run.run_id, (run.ts_, run.run_id)) AS rid, arg_max(run.status, (run.ts_, run.run_id)) AS rs FROM file JOIN run ON run.file_id = file.file_id GROUP BY lead_id) u ON u.lead_id = l.lead_id
+ FROM lead l LEFT JOIN (SELECT lead_id, count(*) AS n, arg_max(run.run_id, (run.ts_, run.run_id)) AS rid, arg_max(run.status, (run.ts_, run.run_id)) AS rs FROM file JOIN run ON run.file_id = file.file_id GROUP BY lead_id) u ON u.lead_id = l.lead_id
  LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'P') AS n, bool_or(o_orderstatus = 'P') AS m FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) p ON p.o_custkey = l.lead_id"""),
     "lead_rollup": sql("""SELECT lead_id, filename, CAST(prio <> '2-HIGH' AS BIGINT) AS consent, run.run_id, run.status AS run_status, coalesce(n, 0)::BIGINT AS findings, coalesce(rv, 0)::BIGINT AS review_required
  FROM file JOIN run ON run.file_id = file.file_id LEFT JOIN (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE rev) AS rv FROM fd GROUP BY run_id) f ON f.run_id = run.run_id WHERE lead_id IN (SELECT c_custkey FROM customer)"""),
-    "retention_due": sql("""SELECT file_id, strftime(ts_, '%Y-%m-%d') AS created_at, CAST(lead_id IS NOT NULL AS BIGINT) AS claimed FROM file WHERE NOT gone AND ts_ < DATE '1999-01-01' - CASE WHEN lead_id IS NULL THEN 7 ELSE 30 END ORDER BY ts_, file_id LIMIT 100"""),
+    "retention_due": sql("""SELECT file_id, strftime(ts_, '%Y-%m-%d') AS created_at, CAST(lead_id IS NOT NULL AS BIGINT) AS claimed FROM file WHERE NOT gone AND ts_ < DATE '1999-01-01' - CASE WHEN lead_id IS NULL THEN 7 ELSE 30 END"""),
     "erase": sql("""SELECT 'source_file' AS table_name, count(*) AS rows FROM file WHERE status <> 'rejected' UNION ALL SELECT 'snapshot_run', count(*) FROM orders WHERE o_orderstatus <> 'P'
  UNION ALL SELECT 'snapshot_finding', count(*) FROM fd JOIN run ON run.run_id = fd.run_id WHERE run.status <> 'failed' UNION ALL SELECT 'model_call', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'
  UNION ALL SELECT 'consent', count(*) FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'audit_event', count(*) FROM orders WHERE o_orderstatus = 'P'"""),
@@ -351,7 +351,7 @@ ORACLE: dict[str, str] = {
     "header_cells": """SELECT p_partkey, CASE WHEN p_size < 10 THEN 'USD' WHEN p_size < 20 THEN 'EUR' ELSE '-' END AS currency, n || CASE WHEN p_size >= 20 AND p_size < 30 THEN '(usd)' ELSE '' END AS label,
  lower(array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')) || ' ' || lower(p_brand) || CASE WHEN p_size >= 20 AND p_size < 30 THEN '(usd)' ELSE '' END AS normalized
  FROM (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || '_' || p_brand AS n FROM part)""",
-    "clean_labels": f"""SELECT conv_id, turn, left(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '^{WS}+', ''), '{WS}+$', ''), 200) AS label, CAST(role = 'user' AS BIGINT) AS unallocated FROM conversations""",
+    "clean_labels": f"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '^{WS}+', ''), '{WS}+$', '') AS label, CAST(role = 'user' AS BIGINT) AS unallocated FROM conversations""",
     # ---- parsed exports
     "parse_long": sql("""SELECT 'long-' || chunk AS export_id, ',' AS delimiter, 'long' AS layout, 'service' AS primary_dimension, 'service,account,tag' AS dimensions, 'USD' AS currency, count(*) AS lines_seen, count(*) FILTER (WHERE reason IS NULL) AS lines_accepted,
  count(*) FILTER (WHERE reason IS NOT NULL) AS lines_rejected, count(*) FILTER (WHERE reason = 'invalid_number') AS cells_rejected, count(*) FILTER (WHERE reason = 'duplicate_row') AS duplicate_lines, count(*) FILTER (WHERE reason IS NULL) AS records,

@@ -28,7 +28,6 @@ MAX_FILE_BYTES = 25 * 1024 * 1024
 MAX_LINES = 1_000_000
 MAX_COLUMNS = 1_000
 MAX_FIELD_CHARS = 10_000
-MAX_LABEL_CHARS = 200
 MAX_ABS_COST = Decimal("1e12")
 MAX_ABS_QUANTITY = Decimal("1e21")
 RECONCILE_TOLERANCE = Decimal("0.01")

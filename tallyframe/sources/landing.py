@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.cells import strip
 from tallyframe.schema import MAX_FILE_BYTES
@@ -24,6 +27,10 @@ LOAD_MESSAGES = {
 }
 
 
+FILE_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+    T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+
 #: Owner of files whose path names no tenant: they are analysed and reported, but nobody's.
 NO_TENANT = "_unassigned"
 
@@ -46,11 +53,26 @@ def read_landing(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES
     return with_identity(raw.where(F.col("length") <= max_bytes))
 
 
+def too_large(arrived: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files above the limit as failed exports. They are not read, so path, length and time name the export."""
+    name = F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")), 256)
+    return arrived.where(F.col("length") > max_bytes).select(
+        tenant().alias("tenant_id"), name.alias("export_id"), "path", "length",
+        F.lit("file_too_large").alias("code"), F.lit(LOAD_MESSAGES["file_too_large"]).alias("message"))
+
+
 def oversized(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """What `read_landing` leaves out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.where(F.col("length") > max_bytes).select(
-        tenant().alias("tenant_id"), "path", "length",
-        F.lit("file_too_large").alias("code"), F.lit(LOAD_MESSAGES["file_too_large"]).alias("message"))
+    return too_large(raw, max_bytes)
+
+
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The named files, one row each."""
+    if not paths:
+        return with_identity(spark.createDataFrame([], FILE_SCHEMA))
+    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]  # names are no patterns
+    return with_identity(spark.read.format("binaryFile").load(plain))
 
 
 def verify_hash(files: DataFrame, source_file: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,24 +6,20 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.operators import monthly, packets
 from tallyframe.plans.ingest import ParsedExports, one_per_export
 from tallyframe.schema import KEYS, MAX_FILE_BYTES, PACKET_V1, PARSER_VERSION
-from tallyframe.session import configure
-from tallyframe.sources.landing import with_identity
+from tallyframe.session import configure, cut
+from tallyframe.sources.landing import FILE_SCHEMA, read_paths, too_large
 from tallyframe.sources.sinks import read_table, write_run
 
-FILE_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
-    T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
-
 
 def analyse_files(files: DataFrame, today: date, calls: DataFrame | None = None, permission: DataFrame | None = None,
-                  version: str = PACKET_V1) -> dict[str, DataFrame]:
-    """Result tables of one set of files. Without `calls` it is the first, answer-free phase; the same
+                  version: str = PACKET_V1, refused: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Result tables of one set of files. Files `refused` unread (`landing.too_large`) are failed runs with an issue.
+    Without `calls` it is the first, answer-free phase; the same
     job with stored answers and permissions is the second, and overwrites the first one's rows."""
     parsed = ParsedExports(files)
     a = parsed.analysis(today)
@@ -34,23 +30,38 @@ def analyse_files(files: DataFrame, today: date, calls: DataFrame | None = None,
     done = (
         a.focus.select(*KEYS, status.alias("status"), "current_month").join(a.summary, KEYS)
         .join(packets.run_hash(packed), KEYS, "left"))
-    failed = parsed.fatal.select(*KEYS, F.lit("failed").alias("status"))
+    fatal = parsed.fatal
+    if refused is not None:
+        fatal = fatal.unionByName(refused.select(
+            *KEYS, "code", F.lit("error").alias("severity"), "message", F.lit(None).cast("bigint").alias("count"),
+            F.to_json(F.struct("path", "length")).alias("detail")))
+    failed = fatal.select(*KEYS, F.lit("failed").alias("status"))
     run = done.unionByName(failed, allowMissingColumns=True).withColumn("parser_version", F.lit(PARSER_VERSION)).withColumn(
         "packet_version", F.lit(version))
     return {
-        "record": parsed.records, "rejection": parsed.rejection_sample,
-        "issue": a.issues.unionByName(parsed.fatal), "coverage": a.coverage, "profile": parsed.profile,
+        "record": parsed.records, "rejection": parsed.rejections, "rejection_sample": parsed.rejection_sample,
+        "issue": a.issues.unionByName(fatal), "coverage": a.coverage, "profile": parsed.profile,
         "finding": decided.withColumn("refs", refs), "packet": packed, "run": run,
     }
 
 
 def ingest_batch(files: DataFrame, out: str, today: date) -> None:
-    """Analyse the files not seen before and write their tables."""
-    fresh = one_per_export(with_identity(files.where(F.col("length") <= MAX_FILE_BYTES)))
-    known = read_table(files.sparkSession, out, "run")
+    """Analyse the files not seen before and write their tables. files: path, length, modificationTime.
+
+    Contents are hashed where they are read and dropped there. Which files are new is decided on the hashes, and
+    only those are read again, so no join moves contents. The batch's size bounds the paths named to the readers."""
+    spark = files.sparkSession
+    arrived = cut(files.select("path", "length", "modificationTime"))
+    small = [r.path for r in arrived.where(F.col("length") <= MAX_FILE_BYTES).select("path").collect()]
+    hashed = cut(read_paths(spark, small).select(*KEYS, "path"))
+    fresh, refused = one_per_export(hashed), too_large(arrived)
+    known = read_table(spark, out, "run")
     if known is not None:
-        fresh = fresh.join(known.select(*KEYS), KEYS, "left_anti")
-    write_run(analyse_files(fresh, today), out)
+        done = known.select(*KEYS)
+        fresh, refused = (df.join(done, KEYS, "left_anti") for df in (fresh, refused))
+    refused = cut(refused)  # the tables below are written over what `known` reads
+    new = read_paths(spark, [r.path for r in fresh.select("path").collect()])
+    write_run(analyse_files(new, today, refused=refused), out)
 
 
 def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, today: date,
@@ -62,6 +73,6 @@ def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
     """
     configure(spark)
     arriving = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
-                .option("maxFilesPerTrigger", max_files).load(landing))
+                .option("maxFilesPerTrigger", max_files).load(landing).select("path", "length", "modificationTime"))
     return (arriving.writeStream.foreachBatch(lambda files, _: ingest_batch(files, out, today))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

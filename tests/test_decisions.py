@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.labels import notable_reasons
 from tallyframe.operators import answers, gate, history, packets, records, reports
+from tallyframe.operators.ranks import middles
 
 TYPED = "struct<category:string,category_confidence:double,owner_confidence:double,needs_human_review:double,change_material:double>"
 
@@ -92,6 +93,14 @@ def test_agreement_median_is_the_upper_middle(spark):
     assert (row.confidence_median, row.agreed_pct, row.overridden) == (0.3, 100, 0)
 
 
+def test_middles_are_exact_over_ranges(spark):
+    rows = [("a", float(i * 37 % 101)) for i in range(100)] + [("b", 1.0)] * 7 + [(None, 2.0), (None, 4.0), ("c", None)]
+    got = {r.k: (r.lower, r.upper) for r in middles(spark.createDataFrame(rows, "k string, v double").repartition(7), ["k"], "v").collect()}
+    want = sorted(v for k, v in rows if k == "a")
+    assert got == {"a": (want[49], want[50]), "b": (1.0, 1.0), None: (2.0, 4.0)}
+    assert middles(spark.createDataFrame([], "v double"), [], "v").first().upper is None
+
+
 def test_alias_numbers_match_a_plain_rank(spark):
     names = spark.range(500).select(F.lit("t").alias("tenant_id"), F.lit("e").alias("export_id"), F.lit("account").alias("dimension"),
                                     F.sha2(F.col("id").cast("string"), 256).alias("label"))
