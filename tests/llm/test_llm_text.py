@@ -143,6 +143,21 @@ def test_language(spark, tables):
     assert {r.language.lang for r in langid.identify(docs.limit(5), nothing).collect()} == {"und"}
 
 
+def test_models_in_shards_keep_all_grams(spark, tables):
+    docs = tables["documents"].select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10 ** 6 + i, t, "xx") for i, t in enumerate(["\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6", "\u03b6\u03b7\u03b8 \u03b1\u03b2\u03b3"])], "doc_id long, text string, lang string")
+    both, always = docs.unionByName(rare), remainder("doc_id", 5) >= 0
+    one, many = langid.fit(both, always), langid.fit(both, always, most=20_000)
+    assert isinstance(one, langid.Models) and isinstance(many, langid.Sharded) and many.parts > 3
+    assert sum(len(m.grams[-1].hashes) for _, m in many.shards()) == len(one.grams[-1].hashes)
+    odd = spark.createDataFrame([(i, t, 1) for i, t in ODD] + [(900, "\u03b1\u03b2\u03b3 \u03b6\u03b7\u03b8", 1), (900, "\u03b1\u03b2\u03b3 \u03b6\u03b7\u03b8", 1)], "doc_id long, text string, language int")
+    for some in (odd, both.where("doc_id < 300")):
+        want, got = (sorted(langid.identify(some, m).collect(), key=lambda r: repr((r.doc_id, r.text))) for m in (one, many))
+        assert [(r.doc_id, r.text, r.language.lang, r.language.rejected) for r in got] == [(r.doc_id, r.text, r.language.lang, r.language.rejected) for r in want]
+        assert np.allclose([r.language.score for r in got], [r.language.score for r in want], atol=1e-4)
+    assert {r.language.lang for r in langid.identify(odd.where("doc_id = 900"), many).collect()} == {"xx"}
+
+
 def test_samples_hold_an_id_once(spark):
     docs = spark.createDataFrame([(i % 5 if i < 400 else i, f"word {i:04d}", "en") for i in range(420)], "doc_id long, text string, lang string")
     labels = spark.range(0, 420).selectExpr("id AS doc_id", "id % 2 AS toxic")
