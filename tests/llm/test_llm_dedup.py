@@ -141,6 +141,26 @@ def test_simhash(spark, rows):
     assert kept == {i for i in label if label[i] == i} | {None}
 
 
+def test_stage_finds_five_word_copies(spark):
+    rng = random.Random(8)
+    words, rows = [[prose(rng, 1) for _ in range(120)] for _ in range(6)], []
+    for i, base in enumerate(words):
+        rows.append((100 * i, " ".join(base)))
+        for k in range(1, 9):  # up to four words replaced: similarities on both sides of the bound
+            some = list(base)
+            for at in rng.sample(range(5, 115), 1 + k % 4):
+                some[at] = prose(rng, 1)
+            rows.append((100 * i + k, " ".join(some)))
+    rows += [(900, None), (901, ""), (902, "one"), (903, " ONE "), (None, rows[0][1]), (1, prose(rng, 80))]
+    sets = [(i, simhash.shingles((t or "").encode())) for i, t in rows if i is not None]
+    kept = {r.doc_id for r in simhash.similar_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert None in kept and {1, 900, 902} <= kept and not {901, 903} & kept  # one row of id 1 is like no other
+    near = {(i, j) for i, a in sets for j, b in sets if i < j and simhash.jaccard(a, b) >= 0.8}
+    assert len([p for p in near if p[0] % 100 == 0]) > 20
+    assert not [(i, j) for i, j in near if i in kept and j in kept and 1 not in (i, j)]
+    assert all(j in kept or any((i, j) in near for i, _ in sets) for j, _ in sets if j not in (901, 903))
+
+
 def test_trees_in_tiles(spark):
     rng = random.Random(2)
     ball = [rng.getrandbits(64)]
