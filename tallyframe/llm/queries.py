@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, chunk_dedup, cotrain, langid, lattice, mixing, simhash, suffix_dedup, toxicity, wu_manber
+from . import bpe, chat, chunk_dedup, cotrain, hard_negatives, langid, lattice, mixing, simhash, spelling, suffix_dedup, toxicity, wu_manber
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -15,6 +15,12 @@ QUERIES = {
     "op8_decontaminate": wu_manber.op8,
     "op9_quality": cotrain.op9,
     "op10_mixing": mixing.op10,
+    "op11_hard_negatives": hard_negatives.op11,
+    "op12_spelling": spelling.op12,
+    "op13_bpe": bpe.op13,
 }
 
-ORACLE = {"op4_chat_format": chat.ORACLE, "op8_decontaminate": wu_manber.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLE = {
+    "op4_chat_format": chat.ORACLE, "op8_decontaminate": wu_manber.ORACLE, "op10_mixing": mixing.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE, "op12_spelling": spelling.ORACLE,
+}
