@@ -12,19 +12,21 @@ from tallyframe import session
 from tallyframe.operators import quality, records
 from tallyframe.plans.analyze import Analysis
 from tallyframe.schema import KEYS
-from tallyframe.sources.exports import parse_lines
+from tallyframe.sources.exports import parse_large, parse_lines
 
 
 class ParsedExports:
     """Lazily derived tables. The `line` table is written once, because every other table reads it."""
 
-    def __init__(self, files: DataFrame, cut: bool = True, spread: int | None = None) -> None:
-        self.files, self.spread = files, spread
+    def __init__(self, files: DataFrame, cut: bool = True, spread: int | None = None, large: DataFrame | None = None) -> None:
+        """files: one row each, with contents; large: lines of files that are too large for that (`ranges.physical_lines`)."""
+        self.files, self.spread, self.large = files, spread, large
         self._cut = session.cut if cut else (lambda df: df)
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._cut(parse_lines(self.files, self.spread))
+        small = parse_lines(self.files, self.spread)
+        return self._cut(small if self.large is None else small.unionByName(parse_large(self.large)))
 
     @cached_property
     def facts(self) -> DataFrame:

@@ -371,4 +371,12 @@ ORACLE: dict[str, str] = {
     "reconcile": sql("SELECT 'wide-' || e AS export_id, count(DISTINCT month) AS count FROM wm WHERE month(month) = 6 GROUP BY e"),
     "currency_consensus": """SELECT CAST(c_nationkey AS VARCHAR) AS export_id, coalesce(string_agg(DISTINCT s, ',' ORDER BY s), '') AS currencies, CASE WHEN count(DISTINCT s) = 1 THEN min(s) ELSE '-' END AS currency
  FROM (SELECT c_nationkey, CASE WHEN c_acctbal > 9000 THEN c_mktsegment END AS s FROM customer) GROUP BY c_nationkey""",
+    "ranged_records": r"""WITH lines AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_orderkey || ',done,' || o_custkey WHEN 'O' THEN o_orderkey || ',"open' ELSE '"' || o_orderkey || '"",",' || o_custkey END
+  || CASE WHEN o_orderpriority = '1-URGENT' THEN ',"' ELSE '' END AS t FROM orders),
+ files AS (SELECT month, string_agg(t, chr(10) ORDER BY o_orderkey) || chr(10) AS text FROM lines GROUP BY month),
+ found AS (SELECT month, list_filter(regexp_extract_all(text, '(?:"(?:[^"]|"")*(?:"|\z)[^,\n]*|[^",\n][^,\n]*|)(?:,(?:"(?:[^"]|"")*(?:"|\z)[^,\n]*|[^",\n][^,\n]*|))*(?:\n|\z)'), lambda r: r <> '') AS r FROM files),
+ records AS (SELECT month, k, body, sum(ends) OVER (PARTITION BY month ORDER BY k) AS line FROM (
+  SELECT month, k, CASE WHEN r[k] LIKE '%' || chr(10) THEN left(r[k], length(r[k]) - 1) ELSE r[k] END AS body, length(r[k]) - length(replace(r[k], chr(10), '')) AS ends
+   FROM (SELECT month, r, unnest(range(1, len(r) + 1)) AS k FROM found)))
+ SELECT month, count(*) AS records, CAST(sum(line) AS BIGINT) AS ends, CAST(sum(length(body)) AS BIGINT) AS chars, CAST(sum(line * length(body)) AS BIGINT) AS weighted, max(length(body)) AS longest FROM records GROUP BY month""",
 }

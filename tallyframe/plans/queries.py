@@ -17,7 +17,7 @@ from tallyframe.plans.analyze import Analysis
 from tallyframe.plans.ingest import ParsedExports
 from tallyframe.schema import KEYS, PACKET_V2
 from tallyframe.session import cut
-from tallyframe.sources import landing
+from tallyframe.sources import landing, ranges
 from tallyframe.sources.exports import parse_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -685,3 +685,22 @@ def currency_consensus(spark, sf):
         *KEYS, F.lit("long").alias("layout"), F.lit(None).cast("string").alias("fatal_code"), F.lit(None).cast("array<string>").alias("header_currencies"))
     return quality.currency_consensus(rows, facts).select(
         "export_id", F.array_join("currencies", ",").alias("currencies"), F.coalesce("currency", F.lit("-")).alias("currency"))
+
+
+@query
+def ranged_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of one file a month whose lines lie in ranges of 2,048 orders; quotes open, close, turn round or leave alone what follows."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(
+        F.when(F.col("o_orderstatus") == "F", F.concat(key, F.lit(",done,"), F.col("o_custkey").cast("string")))
+        .when(F.col("o_orderstatus") == "O", F.concat(key, F.lit(',"open')))
+        .otherwise(F.concat(F.lit('"'), key, F.lit('"",",'), F.col("o_custkey").cast("string"))),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(',"')).otherwise(""))
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    lines = star.table(spark, sf, "orders").select(
+        F.lit("star").alias("tenant_id"), month.alias("export_id"), month.alias("path"), F.lit(0).cast("bigint").alias("size"),
+        F.floor(F.col("o_orderkey") / 2048).alias("block"), F.struct(F.col("o_orderkey").alias("id"), F.lit(0).alias("part")).alias("at"), text.alias("text"), F.lit("\n").alias("ended"))
+    found = ranges.records(ranges.with_states(lines, F.lit(",")))
+    return found.groupBy(F.col("export_id").alias("month")).agg(
+        F.count("*").alias("records"), F.sum("line").alias("ends"), F.sum(F.length("body")).cast("bigint").alias("chars"),
+        F.sum(F.col("line") * F.length("body")).alias("weighted"), F.max(F.length("body")).cast("bigint").alias("longest"))

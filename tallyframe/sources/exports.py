@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import cells
 from tallyframe.functions.cells import BLANK_LABEL, clean_label, is_true, is_unallocated_label, money, strip
-from tallyframe.schema import DIMENSIONS, KEYS, LONG_DIMENSIONS, OWNERSHIP_DIMENSIONS
-from tallyframe.sources import delimited, layouts
+from tallyframe.schema import DIMENSIONS, KEYS, LONG_DIMENSIONS, MAX_COLUMNS, MAX_FIELD_CHARS, OWNERSHIP_DIMENSIONS
+from tallyframe.session import cut
+from tallyframe.sources import delimited, layouts, ranges
 from tallyframe.sources.landing import DELIMITERS, UTF8_BOM
 
 # ---- fixed values: why a file cannot be analysed -------------------------------------------------------
@@ -73,11 +74,8 @@ def _shape(files: DataFrame) -> DataFrame:
             delimited.without_newline(F.get("_lead", F.lit(0))), d)))
         .withColumn("_header_at", F.array_position("_early", F.get("_lead", F.lit(0))).cast("int"))
         .withColumn("_header_line", F.col("_header_at") + delimited.extra_lines(F.slice("_early", F.lit(1), F.col("_header_at"))))
-        .withColumn("_spaced", F.transform("_header", cells.normalized_header))
-        .withColumn("_joined", F.transform("_spaced", lambda h: F.translate(h, " ", "_")))
-        .withColumn("_cols", F.when(F.col("_code").isNull(), layouts.map_headers(F.col("_spaced"), F.col("_joined"))))
-        .withColumn("_long", layouts.looks_long(F.col("_cols")))
     )
+    headed = _headed(headed)
     # Date cells are only cut out of the whole file where slash dates exist or the layout depends on them.
     slashes = F.col("_text").contains("/") & F.col("_text").rlike(r"\d{1,2}/\d{1,2}/\d{4}")
     date_index = F.when(F.col("_long"), F.col("_cols.date")).otherwise(0)
@@ -89,7 +87,22 @@ def _shape(files: DataFrame) -> DataFrame:
     any_slash = F.coalesce(F.exists("_dates", lambda c: strip(c).rlike(cells.SLASH_DATE)), F.lit(False))
     order, assumed = cells.slash_order_from(over(cells.slash_first), over(cells.slash_second), any_slash)
     ordered = dated.withColumn("slash_order", order).withColumn("date_assumed", assumed)
-    wide = layouts.looks_wide(F.col("_header"), F.col("_dates"), F.col("slash_order"))
+    return _laid_out(ordered.withColumn("_wide", layouts.looks_wide(F.col("_header"), F.col("_dates"), F.col("slash_order"))))
+
+
+def _headed(led: DataFrame) -> DataFrame:
+    """Adds what the header row `_header` says."""
+    return (
+        led.withColumn("_spaced", F.transform("_header", cells.normalized_header))
+        .withColumn("_joined", F.transform("_spaced", lambda h: F.translate(h, " ", "_")))
+        .withColumn("_cols", F.when(F.col("_code").isNull(), layouts.map_headers(F.col("_spaced"), F.col("_joined"))))
+        .withColumn("_long", layouts.looks_long(F.col("_cols")))
+    )
+
+
+def _laid_out(ordered: DataFrame) -> DataFrame:
+    """Layout, columns and dimensions of files whose header, date order and `_wide` are known."""
+    wide = F.col("_wide")
     laid = ordered.withColumn("layout", F.when(F.col("_code").isNull(), F.when(F.col("_long"), "long").when(wide, "cost_explorer_wide")))
     dims = layouts.present(F.col("_cols"), LONG_DIMENSIONS)
     columns = F.when(F.col("layout") == "cost_explorer_wide", layouts.wide_columns(F.col("_header")))
@@ -110,6 +123,19 @@ def _shape(files: DataFrame) -> DataFrame:
     )
 
 
+#: Facts of a file that ride on its own row.
+FACTS = ["path", "had_bom", "delimiter", "layout", "primary_dimension", "dimension_label", "dimensions_available",
+         "slash_order", "date_assumed"]
+
+
+def _file_columns() -> list:
+    """Of a shaped file: its facts, why it is unusable, and what typing its rows needs."""
+    message = F.when((F.col("_code") == "missing_required_columns") & (F.col("layout") != "long"), NO_COST_COLUMNS).otherwise(
+        F.try_element_at(F.create_map(*[F.lit(x) for kv in FATAL_MESSAGES.items() for x in kv]), F.col("_code")))
+    return [*KEYS, *FACTS, F.col("_code").alias("fatal_code"), message.alias("fatal_message"), F.size("_header").alias("_width"), "_header_line",
+            "_cols", "_columns", layouts.first_currency(F.col("_header")).alias("_currency")]
+
+
 def parse_lines(files: DataFrame, spread: int | None = None) -> DataFrame:
     """The `line` table. files: tenant_id, export_id, path, content.
 
@@ -120,14 +146,7 @@ def parse_lines(files: DataFrame, spread: int | None = None) -> DataFrame:
     usable = F.col("_code").isNull()
     own = F.array(F.struct(F.lit(-1).alias("before"), F.lit("").alias("text")))
     blocks = F.when(usable, F.concat(own, delimited.numbered_blocks(F.col("_blocks")))).otherwise(own)
-    message = F.when((F.col("_code") == "missing_required_columns") & (F.col("layout") != "long"), NO_COST_COLUMNS).otherwise(
-        F.try_element_at(F.create_map(*[F.lit(x) for kv in FATAL_MESSAGES.items() for x in kv]), F.col("_code")))
-    facts = ["path", "had_bom", "delimiter", "layout", "primary_dimension", "dimension_label", "dimensions_available",
-             "slash_order", "date_assumed"]
-    meta = shaped.select(
-        *KEYS, *facts, F.col("_code").alias("fatal_code"), message.alias("fatal_message"),
-        F.size("_header").alias("_width"), "_header_line", "_cols", "_columns", layouts.first_currency(F.col("_header")).alias("_currency"),
-        F.explode(blocks).alias("_b"))
+    meta = shaped.select(*_file_columns(), F.explode(blocks).alias("_b"))
     if spread:
         meta = meta.repartition(spread)
     is_file = F.col("_b.before") < 0
@@ -138,7 +157,50 @@ def parse_lines(files: DataFrame, spread: int | None = None) -> DataFrame:
     # Blank records are dropped before they are split; a filter on the fields would split twice.
     rows = rows.where(F.col("_file") | ~delimited.is_blank(F.col("body"), F.col("delimiter")))
     rows = rows.withColumn("fields", F.when(~F.col("_file"), delimited.split_fields(F.col("body"), F.col("delimiter"))))
-    return _typed(rows, facts)
+    return _typed(rows, FACTS)
+
+
+def parse_large(lines: DataFrame, whole_profile: bool = False) -> DataFrame:
+    """The `line` table of files read line by line (`ranges.physical_lines`), of any size and number of lines.
+
+    Same rows as `parse_lines` gives, without its limits on bytes and lines; a field's length and a record's columns stay
+    limited. `whole_profile` judges the delimiter on all lines instead of the first ones."""
+    lines = cut(lines)
+    checked = ranges.file_checks(lines)
+    judged = ranges.profiled_delimiter(lines) if whole_profile else ranges.sampled_delimiter(lines)
+    files = checked.join(judged, "path", "left").withColumn("_code", F.coalesce("code", F.when(F.coalesce("lines", F.lit(0)) == 0, "not_delimited")))
+    files = cut(files.select(*KEYS, "path", "had_bom", "_code", F.when(F.col("_code").isNull(), F.col("delimiter")).alias("delimiter")))
+    usable = files.where("_code IS NULL").select("path", "delimiter")
+    d = F.col("delimiter")
+    stated = ranges.with_states(lines.join(usable, "path"), d)
+    found = cut(ranges.records(stated).join(usable, "path").where(F.col("body").isNull() | ~delimited.is_blank(F.col("body"), d)).withColumn(
+        "fields", delimited.split_fields(F.col("body"), d)))
+    longest = F.aggregate("fields", F.lit(0), lambda s, f: F.greatest(s, F.length(f)))
+    wrong = F.when(F.col("body").isNull() | (longest > MAX_FIELD_CHARS), "malformed_csv").when(F.size("fields") > MAX_COLUMNS, "too_many_columns")
+    heads = found.groupBy("path").agg(
+        F.min_by("fields", "line").alias("_header"), F.min("line").alias("_header_line"), F.count("*").alias("_records"),
+        F.min_by(wrong, F.when(wrong.isNotNull(), F.col("line"))).alias("_bad"))
+    led = files.join(heads, "path", "left").withColumn("_code", F.coalesce(
+        "_code", "_bad", F.when(F.coalesce("_records", F.lit(0)) == 0, "empty_file").when(F.col("_records") < 2, "no_data_rows")))
+    headed = cut(_headed(led.withColumn("_header", F.when(F.col("_code").isNull(), F.col("_header")))))
+    # Counts of date cells under both orders take the place of the list of them.
+    index = F.when(F.col("_long"), F.col("_cols.date")).otherwise(0)
+    dates = found.join(headed.where("_code IS NULL").select("path", "_long", "_cols", F.col("_header_line").alias("_h")), "path").where("line <> _h").select(
+        "path", F.get("fields", index).alias("cell"))
+    seen = dates.groupBy("path").agg(
+        F.bool_or(cells.slash_first(F.col("cell")) > 12).alias("first"), F.bool_or(cells.slash_second(F.col("cell")) > 12).alias("second"),
+        F.bool_or(strip(F.col("cell")).rlike(cells.SLASH_DATE)).alias("any"),
+        F.count_if(~cells.is_total_label(F.col("cell"))).alias("cells"),
+        *[F.count_if(~cells.is_total_label(F.col("cell")) & cells.to_day(F.col("cell"), o).isNotNull()).alias(o) for o in ("dmy", "mdy")])
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    order, assumed = cells.slash_order_from(yes("first"), yes("second"), yes("any"))
+    dated = headed.join(seen, "path", "left").withColumn("slash_order", order).withColumn("date_assumed", assumed)
+    of_order = F.when(F.col("slash_order") == "dmy", F.col("dmy")).otherwise(F.col("mdy"))
+    wide = (F.size("_header") >= 2) & (F.col("cells") > 0) & (of_order >= F.greatest(F.lit(1), F.floor(F.col("cells") / F.lit(2)).cast("int")))
+    shaped = cut(_laid_out(dated.withColumn("_wide", F.coalesce(wide, F.lit(False)))).select(*_file_columns()))
+    own = shaped.select("*", F.lit(True).alias("_file"), F.lit(0).cast("bigint").alias("line"), F.lit("").alias("body"), F.lit(None).cast("array<string>").alias("fields"))
+    rows = found.select("path", "line", "body", "fields").join(shaped.where("fatal_code IS NULL"), "path").where("line <> _header_line").withColumn("_file", F.lit(False))
+    return _typed(own.unionByName(rows), FACTS)
 
 
 def _typed(rows: DataFrame, facts: list[str]) -> DataFrame:

@@ -53,11 +53,15 @@ def read_landing(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES
     return with_identity(raw.where(F.col("length") <= max_bytes))
 
 
+def file_name() -> Column:
+    """Name of an export whose bytes are not hashed: from path, length and time."""
+    return F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")), 256)
+
+
 def too_large(arrived: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Files above the limit as failed exports. They are not read, so path, length and time name the export."""
-    name = F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")), 256)
     return arrived.where(F.col("length") > max_bytes).select(
-        tenant().alias("tenant_id"), name.alias("export_id"), "path", "length",
+        tenant().alias("tenant_id"), file_name().alias("export_id"), "path", "length",
         F.lit("file_too_large").alias("code"), F.lit(LOAD_MESSAGES["file_too_large"]).alias("message"))
 
 
