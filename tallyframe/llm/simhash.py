@@ -15,12 +15,13 @@ without an id are classes of their own id, null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,8 @@ RADIUS, SHINGLE, SEED, TREE_SIZE, PAIRS_AT_ONCE = 3, 3, 42, 512, 1_000_000
 #: Of the pipeline's stage: words of a shingle, least Jaccard similarity, and bands of so many minima each. Two sets of
 #: similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9998 at 0.8.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 16, 4
+#: Equal minima below which a pair is refused; smallest ids of a bucket that all others are compared with first; classes in a tile; pairs in a block.
+ENOUGH, LEADERS, IN_TILE, BLOCK = 36, 8, 2_048, 5_000
 _SEEDS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
 
@@ -218,65 +221,132 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """BANDS signed hashes, each of ROWS minima of the seeded shingle hashes; none for an empty set."""
-    if not len(found):
-        return np.zeros(0, np.int64)
+def minima(found: np.ndarray) -> np.ndarray:
+    """The least of the seeded hashes of a set, for each of BANDS * ROWS seeds."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for at in range(0, len(found), 4_096):
         x = found[at:at + 4_096, None] ^ _SEEDS
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
         least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(0))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], np.uint64).view(np.int64)
-
-
-def similar_to_leaders(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(gone): ids all whose rows repeat the shingles of a smaller id, or are similar to a leader with which they share a band.
-
-    Texts with equal shingles are one class, named by its smallest id. In each bucket of a band the smallest class
-    leads; members similar to it are settled, and among the others the smallest leads the next round, until none are
-    left. So every two leaders of a bucket were compared by their texts, and of two similar classes in a bucket at most
-    one stays. There are as many rounds as a bucket has leaders."""
-    name = "struct<id: bigint, key: string>"
+    return least
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of one key (the first columns) at a time, from rows sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch])
+        ends = np.flatnonzero(np.any([np.diff(table.column(c).to_numpy()) != 0 for c in range(keys)], axis=0)) + 1
+        at = 0
+        for end in ends.tolist():
+            yield table.slice(at, end - at)
+            at = end
+        held = table.slice(at).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _plausible(rows: DataFrame, least: float, best: bool) -> DataFrame:
+    """(node, other, met) of rows (bucket, tile, ask, node, id, size, marks): for those that ask, the others of the tile with a smaller id
+    that may be similar: sizes within the bound, and enough equal minima. Sets of similarity 0.8 agree in fewer than
+    ENOUGH of 64 minima with probability under one in 100,000. `best`: only the one with most equal minima in a tile."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, 2):
+            ask, node, ids, size = (table.column(c).to_numpy() for c in range(2, 6))
+            asks, others = np.flatnonzero(ask), np.flatnonzero(~ask)
+            if not len(asks) or not len(others):
+                continue
+            marks = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(ask), -1)
+            step = max(1, 4_000_000 // (64 * len(others)))
+            for at in range(0, len(asks), step):
+                some = asks[at:at + step]
+                met = (marks[some][:, None, :] == marks[others][None, :, :]).sum(2, dtype=np.uint8)
+                fits = (met >= ENOUGH) & (ids[others][None, :] < ids[some][:, None])
+                small, large = np.minimum(size[some][:, None], size[others][None, :]), np.maximum(size[some][:, None], size[others][None, :])
+                fits &= small >= least * large
+                if best:
+                    i = np.flatnonzero(fits.any(1))
+                    j = np.where(fits, met, 0).argmax(1)[i]
+                else:
+                    i, j = np.nonzero(fits)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[some[i]]), pa.array(node[others[j]]), pa.array(met[i, j].astype(np.int32))], names=["node", "other", "met"])
+
+    n = partitions(rows.sparkSession)
+    ready = rows.select("bucket", "tile", "ask", "node", "id", "size", "marks").repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile", "ask", "id")
+    return ready.mapInArrow(run, "node long, other long, met int")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(node) of those pairs (node, other) whose shingles are similar. Pairs are dealt to blocks by both hashes; a text goes once to each
+    block that has a pair of it, at most twice the square root of the number of blocks."""
+    count = pairs.count()
+    side = max(1, math.ceil(math.sqrt(count / BLOCK)))
+    dealt = pairs.select("node", "other", F.pmod(F.xxhash64("node"), F.lit(side)).alias("a"), F.pmod(F.xxhash64("other"), F.lit(side)).alias("b"))
+    named = dealt.select("a", "b", "node").union(dealt.select("a", "b", "other")).distinct()
+    bodies = named.join(texts, "node").select("a", "b", F.lit(False).alias("pair"), "node", F.lit(None).cast("long").alias("other"), "text")
+    rows = bodies.unionByName(dealt.select("a", "b", F.lit(True).alias("pair"), "node", "other", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}
         for batch in batches:
-            whole, marks = [], []
+            found = []
+            a, b, pair, node, other = (batch.column(c).to_pylist() for c in range(5))
+            text = batch.column(5).cast(pa.binary())
+            for k in range(batch.num_rows):
+                if block != (a[k], b[k]):
+                    block, sets = (a[k], b[k]), {}
+                if not pair[k]:
+                    sets[node[k]] = shingles(text[k].as_py())
+                elif jaccard(sets[node[k]], sets[other[k]]) >= least:
+                    found.append(node[k])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
+
+    ready = rows.repartition(min(side * side, 4 * partitions(pairs.sparkSession)), "a", "b").sortWithinPartitions("a", "b", "pair", "node")
+    return ready.mapInArrow(run, "node long").distinct()
+
+
+def similar_to_smaller(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(gone): ids all whose rows repeat the shingles of a smaller id, or are similar to a document of a smaller id with which they share a band.
+
+    Texts with equal shingles are one class, named by its smallest id. First each class is compared with the LEADERS smallest ids of
+    its buckets: the one most like it by their minima is verified. Classes that this does not settle are compared with
+    all smaller ids of their buckets, and every pair that the bounds do not refuse is verified. So there are two passes
+    whatever the data, hot buckets are cut into tiles, and a large group of copies is settled by its leaders. A document may go though
+    the one it is similar to goes as well, being similar to a third."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, sizes, marks, buckets = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 found = shingles(text)
+                low = minima(found)
                 whole.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
-                marks.append(bands(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.string()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "key", "whole", "bands"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).cast(pa.binary()) for c in (2, 3))
-            near = pa.array([jaccard(shingles(x.as_py()), shingles(y.as_py())) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), near], names=["member", "lead", "near"])
+                sizes.append(len(found))
+                marks.append((low >> np.uint64(17)).astype(np.uint8).tobytes())
+                buckets.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(low.reshape(BANDS, ROWS))] if len(found) else [], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.string()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()),
+                                              pa.array(buckets, pa.list_(pa.int64()))], names=["id", "key", "whole", "size", "marks", "buckets"])
 
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("key"), "text")
-    marked = cut(texts.mapInArrow(run, "id long, key string, whole string, bands array<long>"))
-    classes = cut(marked.groupBy("whole").agg(F.min(F.struct("id", "key")).alias("member"), F.min("bands").alias("bands")))
-    members = cut(classes.select("member", F.posexplode("bands").alias("band", "value")))
-    crowded = cut(members.groupBy("band", "value").count().where("count > 1").select("band", "value"))
-    left = cut(members.join(crowded, ["band", "value"]))
-    known = None
-    while True:
-        leads = cut(left.groupBy("band", "value").agg(F.min("member").alias("lead")))
-        led = cut(left.join(leads, ["band", "value"]).where("member > lead"))
-        if led.isEmpty():
-            break
-        pairs = led.select("member", "lead").distinct()
-        pairs = cut(pairs if known is None else pairs.join(known, ["member", "lead"], "left_anti"))
-        named = pairs.select("member").union(pairs.select("lead")).distinct().select("member.id", "member.key")
-        bodies = cut(texts.join(cut(named), ["id", "key"]).dropDuplicates(["id", "key"]).select(F.struct("id", "key").alias("member"), "text"))
-        both = pairs.join(bodies.withColumnRenamed("text", "a"), "member").join(bodies.select(F.col("member").alias("lead"), F.col("text").alias("b")), "lead")
-        judged = cut(both.select("member", "lead", "a", "b").mapInArrow(compare, f"member {name}, lead {name}, near boolean"))
-        known = judged if known is None else cut(known.unionByName(judged))  # else plans grow with the rounds
-        left = cut(led.join(known.where("NOT near"), ["member", "lead"]).select("band", "value", "member"))
-    settled = (members.limit(0) if known is None else known.where("near")).select("member").distinct().withColumn("similar", F.lit(True))
-    fate = cut(classes.select("whole", "member").join(settled, "member", "left").select("whole", "member.id", "similar").withColumnRenamed("id", "first"))
+    marked = cut(texts.mapInArrow(run, "id long, key string, whole string, size long, marks binary, buckets array<long>"))
+    classes = cut(marked.groupBy("whole").agg(F.min(F.struct("id", "key")).alias("first"), F.min("size").alias("size"), F.min("marks").alias("marks"), F.min("buckets").alias("buckets")).select(
+        "whole", F.xxhash64("whole").alias("node"), "first.id", "first.key", "size", "marks", "buckets"))
+    entered = classes.select(F.explode("buckets").alias("bucket"), "node", "id", "size", "marks")
+    counts = entered.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / IN_TILE).cast("int").alias("tiles"))
+    members = cut(entered.join(cut(counts), "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
+    lead = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("id", "node"))).where(F.col("k") <= LEADERS)
+    told = lambda ask: F.lit(ask).alias("ask")
+    columns = ["bucket", "node", "id", "size", "marks"]
+    led = lead.select(*columns, every, told(False)).unionByName(members.select(*columns, "tile", told(True)))
+    nearest = _plausible(led, least, True).groupBy("node").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
+    bodies = classes.select("node", "id", "key").join(texts, ["id", "key"]).dropDuplicates(["node"]).select("node", "text")
+    settled = cut(_verified(cut(nearest), bodies, least))
+    open_ = members.join(settled, "node", "left_anti")
+    asked = open_.select(*columns, every, told(True)).unionByName(members.select(*columns, "tile", told(False)))
+    rest = cut(_plausible(asked, least, False).select("node", "other").distinct().join(nearest, ["node", "other"], "left_anti"))
+    similar = settled.unionByName(cut(_verified(rest, bodies, least))).withColumn("similar", F.lit(True))
+    fate = cut(classes.select("whole", "node", F.col("id").alias("first")).join(similar, "node", "left").select("whole", "first", "similar"))
     rows = marked.select("id", "whole").join(fate, "whole").select("id", (F.col("similar").isNotNull() | (F.col("first") < F.col("id"))).alias("out"))
     return rows.groupBy("id").agg(F.min("out").alias("out")).where("out").select(F.col("id").alias("gone"))
 
@@ -284,7 +354,8 @@ def similar_to_leaders(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of documents whose five-word shingles are similar the one with the smallest id stays, with
     all rows of that id; rows without an id stay. op2's contract (three words, three bits) misses most copies of 0.8 to 0.95."""
-    return docs.join(similar_to_leaders(docs), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = similar_to_smaller(docs)
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def keep_one_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
