@@ -123,7 +123,7 @@ class PairTree:
         self.rank, self.joined = vocabulary.rank, vocabulary.joined
         self.ids = array("q", vocabulary.first[np.frombuffer(piece, np.uint8)].tobytes())
         self.after, self.before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-        self.size = size = 1 << max(0, n - 2).bit_length()
+        self.size = size = 1 << (n - 1).bit_length()
         self.tree = tree = array("q", [NONE]) * (2 * size)
         for i in range(n - 1):
             tree[size + i] = self.key(i)

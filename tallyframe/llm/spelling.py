@@ -115,7 +115,8 @@ def _entries(words: DataFrame, known: Dictionary) -> DataFrame:
                                               pa.array(np.array([h for x in c for h in x], np.uint64).view(np.int64))) for c in (keys, asks)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array(sure, pa.bool_())], names=["word", "n", "keys", "asks", "sure"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, keys array<long>, asks array<long>, sure boolean")
+    spread = words.select("word", "n").repartition(partitions(words.sparkSession), "word")  # a small table has few splits
+    return spread.mapInArrow(run, "word string, n long, keys array<long>, asks array<long>, sure boolean")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -237,7 +238,7 @@ def _numbered(table: pa.Table) -> np.ndarray:
 def _unsure_pairs(entries: DataFrame) -> DataFrame:
     """Pairs one edit apart of words that lists need not bring together: equal but for one sign at one place, or one is what is left of the other."""
     unsure = entries.where("NOT sure").select("word", "n")
-    less = unsure.selectExpr("word", "n", "explode(transform(sequence(1, length(word)), i -> struct(i, concat(substring(word, 1, i - 1), substring(word, i + 1, length(word))) AS rest))) AS e").selectExpr(
+    less = unsure.where("word <> ''").selectExpr("word", "n", "explode(transform(sequence(1, length(word)), i -> struct(i, concat(substring(word, 1, i - 1), substring(word, i + 1, length(word))) AS rest))) AS e").selectExpr(
         "word", "n", "e.i", "e.rest")
     a, b = less.alias("a"), less.alias("b")
     replaced = a.join(b, F.expr("a.i = b.i AND a.rest = b.rest AND a.word < b.word")).selectExpr("a.word AS a", "a.n AS na", "b.word AS b", "b.n AS nb")
