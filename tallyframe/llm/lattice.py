@@ -227,3 +227,20 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(read(spark, sf_dir, "embeddings"))
+
+
+#: All pairs, so only for small tables; a lattice search that misses a link shows as a difference.
+ORACLE = """
+WITH RECURSIVE fine AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+usable AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM fine
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) >= 0.9 * a.n * b.n),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+groups AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+counts AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN groups ON groups.u = vec_id LEFT JOIN counts ON counts.u = vec_id
+"""

@@ -21,6 +21,6 @@ QUERIES = {
 }
 
 ORACLE = {
-    "op4_chat_format": chat.ORACLE, "op8_decontaminate": wu_manber.ORACLE, "op10_mixing": mixing.ORACLE,
+    "op1_suffix_dedup": suffix_dedup.ORACLE, "op3_lattice": lattice.ORACLE, "op4_chat_format": chat.ORACLE, "op8_decontaminate": wu_manber.ORACLE, "op10_mixing": mixing.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE, "op12_spelling": spelling.ORACLE,
 }

@@ -325,3 +325,18 @@ def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         changes["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cleaned.withColumns(changes).select(*docs.columns)
+
+
+#: Every window of 100 bytes as hexadecimal text, so only for small tables; texts repeat no id there.
+ORACLE = """
+WITH texts AS (SELECT doc_id, CAST(hex(encode(coalesce(text, ''))) AS VARCHAR) AS x FROM documents),
+windows AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS w FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS p FROM texts WHERE length(x) >= 200)),
+repeats AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM repeats),
+numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, k),
+edges AS (SELECT doc_id, k, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY k), 1000000000) AS b FROM (SELECT doc_id, k, a, b FROM spans UNION ALL SELECT doc_id, 0, 0, 0 FROM texts)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY k))) AS kept_sha256 FROM edges JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM texts JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id) USING (doc_id)
+"""
