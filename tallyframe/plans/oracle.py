@@ -379,4 +379,12 @@ ORACLE: dict[str, str] = {
   SELECT month, k, CASE WHEN r[k] LIKE '%' || chr(10) THEN left(r[k], length(r[k]) - 1) ELSE r[k] END AS body, length(r[k]) - length(replace(r[k], chr(10), '')) AS ends
    FROM (SELECT month, r, unnest(range(1, len(r) + 1)) AS k FROM found)))
  SELECT month, count(*) AS records, CAST(sum(line) AS BIGINT) AS ends, CAST(sum(length(body)) AS BIGINT) AS chars, CAST(sum(line * length(body)) AS BIGINT) AS weighted, max(length(body)) AS longest FROM records GROUP BY month""",
+    "event_funnel": """WITH a AS (SELECT user_id, min(ts) AS t1 FROM events WHERE event_type = 'signup' GROUP BY user_id),
+ b AS (SELECT user_id, t1, min(ts) AS t2 FROM a JOIN events USING (user_id) WHERE event_type = 'view' AND ts > t1 GROUP BY ALL),
+ c AS (SELECT user_id, t1, t2, min(ts) AS t3 FROM b JOIN events USING (user_id) WHERE event_type = 'click' AND ts > t2 GROUP BY ALL),
+ d AS (SELECT user_id, t1, t3, min(ts) AS t4 FROM c JOIN events USING (user_id) WHERE event_type = 'purchase' AND ts > t3 GROUP BY ALL)
+ SELECT 1 AS position, 'signup' AS step, (SELECT count(*) FROM a) AS subjects, (SELECT count(*) FROM a) AS before, 0::BIGINT AS seconds
+ UNION ALL SELECT 2, 'view', count(*), (SELECT count(*) FROM a), CAST(coalesce(sum((epoch_us(t2) - epoch_us(t1)) // 1000000), 0) AS BIGINT) FROM b
+ UNION ALL SELECT 3, 'click', count(*), (SELECT count(*) FROM b), CAST(coalesce(sum((epoch_us(t3) - epoch_us(t1)) // 1000000), 0) AS BIGINT) FROM c
+ UNION ALL SELECT 4, 'purchase', count(*), (SELECT count(*) FROM c), CAST(coalesce(sum((epoch_us(t4) - epoch_us(t1)) // 1000000), 0) AS BIGINT) FROM d""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import cells, labels
 from tallyframe.functions.numeric import plain
 from tallyframe.operators import (
-    answers, cards, detect, gate, history, monthly, packets, periods, portfolio, quality, records, reports, summary,
+    answers, cards, detect, funnel, gate, history, monthly, packets, periods, portfolio, quality, records, reports, summary,
 )
 from tallyframe.plans import desk, exports_from_star, star
 from tallyframe.plans.analyze import Analysis
@@ -704,3 +704,10 @@ def ranged_records(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy(F.col("export_id").alias("month")).agg(
         F.count("*").alias("records"), F.sum("line").alias("ends"), F.sum(F.length("body")).cast("bigint").alias("chars"),
         F.sum(F.col("line") * F.length("body")).alias("weighted"), F.max(F.length("body")).cast("bigint").alias("longest"))
+
+
+@query
+def event_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """Users that sign up, then view, click and buy, whatever else they do between."""
+    steps = ["signup", "view", "click", "purchase"]
+    return funnel.funnel(funnel.slice_states(star.table(spark, sf, "events"), steps), steps)

@@ -91,16 +91,20 @@ class KeyedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in sorted(folders)])
 
-    def read(self, keys: DataFrame | None = None) -> DataFrame | None:
-        """The table, or None before the first merge; with `keys`, only the buckets that can hold one of them."""
+    def read(self, keys: DataFrame | None = None, before: str | None = None) -> DataFrame | None:
+        """The table, or None before the first merge; with `keys`, only the buckets that can hold one of them; with `before`, as
+        it was before that batch, if that was the last one."""
         found = self._manifests()
+        if found and found[-1][1]["batch"] == before:
+            found = found[:-1]
         if not found:
             return None
         return self._rows(found[-1][1], None if keys is None else self._touched(keys))
 
-    def missing(self, keys: DataFrame) -> DataFrame:
-        """The rows of `keys` whose bucket columns name no row of the table."""
-        stored = self.read(keys)
+    def missing(self, keys: DataFrame, before: str | None = None, where: str = "true") -> DataFrame:
+        """The rows of `keys` whose bucket columns name no row of the table (of those that `where` describes)."""
+        stored = self.read(keys, before)
+        stored = stored if stored is None else stored.where(where)
         return keys if stored is None else keys.join(stored.select(*self.by), self.by, "left_anti")
 
     # ---- writing -----------------------------------------------------------------------------------
@@ -171,9 +175,9 @@ class KeyedStore:
     def table(self, name: str) -> KeyedTable:
         return KeyedTable(self.spark, f"{self.out}/{name}", KEYS, self.buckets)
 
-    def unknown(self, exports: DataFrame) -> DataFrame:
-        """Exports not done before. Only the ledger's buckets that these can lie in are read."""
-        return self.table("run").missing(exports)
+    def unknown(self, exports: DataFrame, batch: str | None = None, where: str = "true") -> DataFrame:
+        """Exports not done before this batch. Only the ledger's buckets that these can lie in are read, and of those two columns."""
+        return self.table("run").missing(exports, batch, where)
 
     def write(self, tables: dict[str, DataFrame], batch: str) -> None:
         """All tables of a batch, the run table last. Exports of the batch are replaced in every table, also where they have no rows."""

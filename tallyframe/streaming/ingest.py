@@ -13,15 +13,18 @@ from tallyframe.plans.ingest import ParsedExports, one_per_export
 from tallyframe.schema import KEYS, MAX_FILE_BYTES, PACKET_V1, PARSER_VERSION
 from tallyframe.session import configure, cut
 from tallyframe.sources.landing import FILE_SCHEMA, read_paths, too_large
+from tallyframe.sources.keyed import KeyedStore
+from tallyframe.sources.ranges import physical_lines
 from tallyframe.sources.sinks import read_table, write_run
 
 
 def analyse_files(files: DataFrame, today: date, calls: DataFrame | None = None, permission: DataFrame | None = None,
-                  version: str = PACKET_V1, refused: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Result tables of one set of files. Files `refused` unread (`landing.too_large`) are failed runs with an issue.
+                  version: str = PACKET_V1, refused: DataFrame | None = None, large: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Result tables of one set of files. Files `refused` unread (`landing.too_large`) are failed runs with an issue; lines of
+    `large` ones (`ranges.physical_lines`) are analysed like the others.
     Without `calls` it is the first, answer-free phase; the same
     job with stored answers and permissions is the second, and overwrites the first one's rows."""
-    parsed = ParsedExports(files)
+    parsed = ParsedExports(files, large=large)
     a = parsed.analysis(today)
     decided = a._cut(a.decide(a.with_answers(calls, permission, version)))
     packed = a._cut(a.packets(version))
@@ -45,28 +48,44 @@ def analyse_files(files: DataFrame, today: date, calls: DataFrame | None = None,
     }
 
 
-def ingest_batch(files: DataFrame, out: str, today: date) -> None:
+def ingest_batch(files: DataFrame, out: str, today: date, batch: str | None = None, split_large: bool = False) -> None:
     """Analyse the files not seen before and write their tables. files: path, length, modificationTime.
 
     Contents are hashed where they are read and dropped there. Which files are new is decided on the hashes, and
-    only those are read again, so no join moves contents. The batch's size bounds the paths named to the readers."""
+    only those are read again, so no join moves contents. The batch's size bounds the paths named to the readers.
+    An export counts as seen if this parser's version has done it. With a `batch` name tables are kept in buckets
+    (`sources.keyed`): a batch reads only the ledger's buckets that its exports can lie in, and the number of files does not
+    grow with exports. `split_large` parses files over the limit in ranges of lines instead of refusing them."""
     spark = files.sparkSession
     arrived = cut(files.select("path", "length", "modificationTime"))
     small = [r.path for r in arrived.where(F.col("length") <= MAX_FILE_BYTES).select("path").collect()]
     hashed = cut(read_paths(spark, small).select(*KEYS, "path"))
     fresh, refused = one_per_export(hashed), too_large(arrived)
-    known = read_table(spark, out, "run")
-    if known is not None:
-        done = known.select(*KEYS)
-        fresh, refused = (df.join(done, KEYS, "left_anti") for df in (fresh, refused))
+    current = f"parser_version = '{PARSER_VERSION}'"
+    store = None if batch is None else KeyedStore(spark, out)
+    if store is not None:
+        fresh, refused = (store.unknown(df, batch, current) for df in (fresh, refused))
+    else:
+        known = read_table(spark, out, "run")
+        if known is not None:
+            done = known.where(current).select(*KEYS)
+            fresh, refused = (df.join(done, KEYS, "left_anti") for df in (fresh, refused))
     refused = cut(refused)  # the tables below are written over what `known` reads
     new = read_paths(spark, [r.path for r in fresh.select("path").collect()])
-    write_run(analyse_files(new, today, refused=refused), out)
+    large = None
+    if split_large:
+        large = physical_lines(spark, [r.path for r in refused.select("path").collect()])
+        refused = refused.limit(0)
+    tables = analyse_files(new, today, refused=refused, large=large)
+    if store is not None:
+        store.write(tables, batch)
+    else:
+        write_run(tables, out)
 
 
 def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, today: date,
-                  max_files: int = 10_000) -> StreamingQuery:
-    """Process what has arrived since the last call and stop.
+                  max_files: int = 10_000, keyed: bool = False, split_large: bool = False) -> StreamingQuery:
+    """Process what has arrived since the last call and stop. `keyed` and `split_large` as in `ingest_batch`.
 
     State lives in the file source's checkpoint and in the written tables; there is no per-key state
     to grow. A batch that is retried after a failure overwrites the partitions it wrote before.
@@ -74,5 +93,5 @@ def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
     configure(spark)
     arriving = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
                 .option("maxFilesPerTrigger", max_files).load(landing).select("path", "length", "modificationTime"))
-    return (arriving.writeStream.foreachBatch(lambda files, _: ingest_batch(files, out, today))
+    return (arriving.writeStream.foreachBatch(lambda files, n: ingest_batch(files, out, today, f"ingest-{n}" if keyed else None, split_large))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
