@@ -33,7 +33,7 @@ RADIUS, SHINGLE, SEED, TREE_SIZE, PAIRS_AT_ONCE = 3, 3, 42, 512, 1_000_000
 #: similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9998 at 0.8.
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 16, 4
 #: Equal minima below which a pair is refused; smallest ids of a bucket that all others are compared with first; classes in a tile; pairs in a block.
-ENOUGH, LEADERS, IN_TILE, BLOCK = 36, 8, 2_048, 5_000
+ENOUGH, LEADERS, IN_TILE, BLOCK = 36, 4, 2_048, 5_000
 _SEEDS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
 
@@ -246,45 +246,86 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _plausible(rows: DataFrame, least: float, best: bool) -> DataFrame:
-    """(node, other, met) of rows (bucket, tile, ask, node, id, size, marks): for those that ask, the others of the tile with a smaller id
-    that may be similar: sizes within the bound, and enough equal minima. Sets of similarity 0.8 agree in fewer than
-    ENOUGH of 64 minima with probability under one in 100,000. `best`: only the one with most equal minima in a tile."""
+def _medoids(members: DataFrame) -> DataFrame:
+    """(bucket, node): in each tile the member whose minima agree most with what most members have: the middle of a group of copies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, 2):
-            ask, node, ids, size = (table.column(c).to_numpy() for c in range(2, 6))
+            marks = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            usual = np.array([np.bincount(c, minlength=256).argmax() for c in marks.T], np.uint8) if len(marks) > 2 else marks[0]
+            k = int((marks == usual).sum(1).argmax())
+            yield pa.RecordBatch.from_arrays([table.column(c).slice(k, 1).combine_chunks() for c in (0, 2)], names=["bucket", "node"])
+
+    ready = members.select("bucket", "tile", "node", "marks").repartition(partitions(members.sparkSession), "bucket", "tile").sortWithinPartitions("bucket", "tile", "node")
+    return ready.mapInArrow(run, "bucket long, node long")
+
+
+def _plausible(rows: DataFrame, least: float, wanted: str) -> DataFrame:
+    """What may be similar among rows (bucket, tile, ask, node, part, size, shared, marks): those that ask with those that do not, of another part.
+    Sizes are within the bound, enough minima are equal (sets of similarity 0.8 agree in fewer than ENOUGH of 64 with
+    probability under one in 100,000), and the shingles shared with anything suffice.
+
+    wanted: `best`, (node, other, met) with the one of most equal minima in a tile; `nodes`, (node) those that have any; `pairs`, (node, other)."""
+    names = {"best": ["node", "other", "met"], "nodes": ["node"], "pairs": ["node", "other"]}[wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, 2):
+            ask, node, part, size, shared = (table.column(c).to_numpy() for c in range(2, 7))
             asks, others = np.flatnonzero(ask), np.flatnonzero(~ask)
             if not len(asks) or not len(others):
                 continue
-            marks = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(len(ask), -1)
+            marks = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(len(ask), -1)
             step = max(1, 4_000_000 // (64 * len(others)))
             for at in range(0, len(asks), step):
                 some = asks[at:at + step]
                 met = (marks[some][:, None, :] == marks[others][None, :, :]).sum(2, dtype=np.uint8)
-                fits = (met >= ENOUGH) & (ids[others][None, :] < ids[some][:, None])
-                small, large = np.minimum(size[some][:, None], size[others][None, :]), np.maximum(size[some][:, None], size[others][None, :])
-                fits &= small >= least * large
-                if best:
+                fits = (met >= ENOUGH) & (part[others][None, :] != part[some][:, None])
+                x, y = size[some][:, None], size[others][None, :]
+                fits &= np.minimum(x, y) >= least * np.maximum(x, y)
+                fits &= np.minimum(shared[some][:, None], shared[others][None, :]) * (1 + least) >= least * (x + y) - 1e-6
+                if wanted == "best":
                     i = np.flatnonzero(fits.any(1))
                     j = np.where(fits, met, 0).argmax(1)[i]
+                    out = [node[some[i]], node[others[j]], met[i, j].astype(np.int32)]
+                elif wanted == "nodes":
+                    out = [np.concatenate([node[some[fits.any(1)]], node[others[fits.any(0)]]])]
                 else:
                     i, j = np.nonzero(fits)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[some[i]]), pa.array(node[others[j]]), pa.array(met[i, j].astype(np.int32))], names=["node", "other", "met"])
+                    out = [np.minimum(node[some[i]], node[others[j]]), np.maximum(node[some[i]], node[others[j]])]
+                if len(out[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+
+    ready = rows.select("bucket", "tile", "ask", "node", "part", "size", "shared", "marks").repartition(
+        partitions(rows.sparkSession), "bucket", "tile").sortWithinPartitions("bucket", "tile", "ask", "node")
+    return ready.mapInArrow(run, ", ".join(f"{c} {'int' if c == 'met' else 'long'}" for c in names))
 
-    n = partitions(rows.sparkSession)
-    ready = rows.select("bucket", "tile", "ask", "node", "id", "size", "marks").repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile", "ask", "id")
-    return ready.mapInArrow(run, "node long, other long, met int")
+
+def _shared_counts(texts: DataFrame) -> DataFrame:
+    """(node, shared): how many of a text's shingles some other text of the table (node, text) holds too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                found = shingles(text.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(found)], names=["node", "hash"])
+
+    hashes = cut(texts.mapInArrow(run, "node long, hash long"))
+    common = hashes.groupBy("hash").count().where("count > 1").select("hash")
+    return hashes.join(common, "hash", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(node) of those pairs (node, other) whose shingles are similar. Pairs are dealt to blocks by both hashes; a text goes once to each
+def _texts_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of some classes. Only their ids meet the texts."""
+    wanted = cut(nodes.distinct().join(classes.select("node", "id", "key"), "node"))
+    return texts.join(wanted, ["id", "key"]).dropDuplicates(["node"]).select("node", "text")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those pairs (node, other) whose shingles are similar. Pairs are dealt to blocks by both hashes; a text goes once to each
     block that has a pair of it, at most twice the square root of the number of blocks."""
-    count = pairs.count()
-    side = max(1, math.ceil(math.sqrt(count / BLOCK)))
+    pairs = cut(pairs.select("node", "other"))
+    side = max(1, math.ceil(math.sqrt(pairs.count() / BLOCK)))
     dealt = pairs.select("node", "other", F.pmod(F.xxhash64("node"), F.lit(side)).alias("a"), F.pmod(F.xxhash64("other"), F.lit(side)).alias("b"))
     named = dealt.select("a", "b", "node").union(dealt.select("a", "b", "other")).distinct()
-    bodies = named.join(texts, "node").select("a", "b", F.lit(False).alias("pair"), "node", F.lit(None).cast("long").alias("other"), "text")
+    bodies = named.join(_texts_of(named.select("node"), classes, texts), "node").select("a", "b", F.lit(False).alias("pair"), "node", F.lit(None).cast("long").alias("other"), "text")
     rows = bodies.unionByName(dealt.select("a", "b", F.lit(True).alias("pair"), "node", "other", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,21 +340,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 if not pair[k]:
                     sets[node[k]] = shingles(text[k].as_py())
                 elif jaccard(sets[node[k]], sets[other[k]]) >= least:
-                    found.append(node[k])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
+                    found.append((node[k], other[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["node", "other"])
 
     ready = rows.repartition(min(side * side, 4 * partitions(pairs.sparkSession)), "a", "b").sortWithinPartitions("a", "b", "pair", "node")
-    return ready.mapInArrow(run, "node long").distinct()
+    return cut(ready.mapInArrow(run, "node long, other long"))
 
 
-def similar_to_smaller(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(gone): ids all whose rows repeat the shingles of a smaller id, or are similar to a document of a smaller id with which they share a band.
+def repeated_in_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(gone): ids all whose rows have a document of a smaller id in their group. Groups are what similar documents that share a band connect,
+    so of a group one document stays, and one may go that is similar to it only through others.
 
-    Texts with equal shingles are one class, named by its smallest id. First each class is compared with the LEADERS smallest ids of
-    its buckets: the one most like it by their minima is verified. Classes that this does not settle are compared with
-    all smaller ids of their buckets, and every pair that the bounds do not refuse is verified. So there are two passes
-    whatever the data, hot buckets are cut into tiles, and a large group of copies is settled by its leaders. A document may go though
-    the one it is similar to goes as well, being similar to a third."""
+    Texts with equal shingles are one class. First each class is compared with its buckets' leaders, the medoid of each tile and
+    the smallest ids: the one most like it by their minima is verified. That joins a group of copies whatever its size. Then
+    classes of different groups that still share a bucket are compared, all but those within a bucket's largest group: those that the bounds on
+    sizes and minima leave are looked at for the shingles they share with any other of them, and the pairs that this bound leaves
+    too are verified, all of them. There are two passes whatever the data; hot buckets are cut into tiles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, sizes, marks, buckets = [], [], [], []
@@ -334,27 +376,42 @@ def similar_to_smaller(docs: DataFrame, least: float = LEAST) -> DataFrame:
     entered = classes.select(F.explode("buckets").alias("bucket"), "node", "id", "size", "marks")
     counts = entered.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / IN_TILE).cast("int").alias("tiles"))
     members = cut(entered.join(cut(counts), "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
-    lead = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("id", "node"))).where(F.col("k") <= LEADERS)
     told = lambda ask: F.lit(ask).alias("ask")
-    columns = ["bucket", "node", "id", "size", "marks"]
-    led = lead.select(*columns, every, told(False)).unionByName(members.select(*columns, "tile", told(True)))
-    nearest = _plausible(led, least, True).groupBy("node").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
-    bodies = classes.select("node", "id", "key").join(texts, ["id", "key"]).dropDuplicates(["node"]).select("node", "text")
-    settled = cut(_verified(cut(nearest), bodies, least))
-    open_ = members.join(settled, "node", "left_anti")
-    asked = open_.select(*columns, every, told(True)).unionByName(members.select(*columns, "tile", told(False)))
-    rest = cut(_plausible(asked, least, False).select("node", "other").distinct().join(nearest, ["node", "other"], "left_anti"))
-    similar = settled.unionByName(cut(_verified(rest, bodies, least))).withColumn("similar", F.lit(True))
-    fate = cut(classes.select("whole", "node", F.col("id").alias("first")).join(similar, "node", "left").select("whole", "first", "similar"))
-    rows = marked.select("id", "whole").join(fate, "whole").select("id", (F.col("similar").isNotNull() | (F.col("first") < F.col("id"))).alias("out"))
+    columns = ["bucket", "node", "size", "marks"]
+    whole = F.col("size").alias("shared")
+    first = members.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("id", "node"))).where(F.col("k") <= LEADERS)
+    leaders = first.select("bucket", "node").union(_medoids(members)).distinct()
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
+    own = F.col("node").alias("part")
+    led = members.join(cut(leaders), ["bucket", "node"], "left_semi").select(*columns, every, told(False), own, whole).unionByName(members.select(*columns, "tile", told(True), own, whole))
+    nearest = _plausible(led, least, "best").groupBy("node").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
+    links = _verified(nearest, classes, texts, least)
+    groups = cut(components(links.select(F.col("node").alias("u"), F.col("other").alias("v"))))
+    parted = cut(members.join(groups, "node", "left").select(*columns, F.coalesce("component", "node").alias("part")))
+    main = parted.groupBy("bucket", "part").count().groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    mixed = cut(main.where("n > most").select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / IN_TILE).cast("int").alias("tiles")))
+    open_ = parted.join(mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+    def facing(rows: DataFrame, shared: F.Column) -> DataFrame:
+        return rows.select(*columns, every, told(True), "part", shared).unionByName(rows.where("part <> main").select(*columns, "tile", told(False), "part", shared))
+
+    flagged = cut(_plausible(facing(open_, whole), least, "nodes").distinct())
+    counts = cut(_shared_counts(_texts_of(flagged, classes, texts)))
+    bounded = open_.join(counts, "node")
+    rest = _plausible(facing(bounded, F.col("shared")), least, "pairs").distinct().join(links.selectExpr("least(node, other) AS node", "greatest(node, other) AS other"), ["node", "other"], "left_anti")
+    more = _verified(rest, classes, texts, least)
+    groups = cut(components(links.unionByName(more).select(F.col("node").alias("u"), F.col("other").alias("v"))))
+    named = classes.join(groups, "node", "left").select("whole", "id", F.coalesce("component", "node").alias("part"))
+    smallest = named.groupBy("part").agg(F.min("id").alias("first"))
+    fate = cut(named.join(cut(smallest), "part").select("whole", "first"))
+    rows = marked.select("id", "whole").join(fate, "whole").select("id", (F.col("first") < F.col("id")).alias("out"))
     return rows.groupBy("id").agg(F.min("out").alias("out")).where("out").select(F.col("id").alias("gone"))
 
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of documents whose five-word shingles are similar the one with the smallest id stays, with
+    """The pipeline's stage: of documents whose five-word shingles are similar, or connected by similar ones, the one with the smallest id stays, with
     all rows of that id; rows without an id stay. op2's contract (three words, three bits) misses most copies of 0.8 to 0.95."""
-    gone = similar_to_smaller(docs)
+    gone = repeated_in_groups(docs)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
