@@ -387,4 +387,9 @@ ORACLE: dict[str, str] = {
  UNION ALL SELECT 2, 'view', count(*), (SELECT count(*) FROM a), CAST(coalesce(sum((epoch_us(t2) - epoch_us(t1)) // 1000000), 0) AS BIGINT) FROM b
  UNION ALL SELECT 3, 'click', count(*), (SELECT count(*) FROM b), CAST(coalesce(sum((epoch_us(t3) - epoch_us(t1)) // 1000000), 0) AS BIGINT) FROM c
  UNION ALL SELECT 4, 'purchase', count(*), (SELECT count(*) FROM c), CAST(coalesce(sum((epoch_us(t4) - epoch_us(t1)) // 1000000), 0) AS BIGINT) FROM d""",
+    "fatal_files": """SELECT c_custkey, CASE c_mktsegment WHEN 'FURNITURE' THEN 'unsupported_layout' WHEN 'HOUSEHOLD' THEN 'no_valid_rows' WHEN 'MACHINERY' THEN 'no_data_rows' ELSE 'missing_required_columns' END AS code, 'error' AS severity,
+ CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Required columns are missing: cost. The file needs a date, a service (or account/region) and a cost column.'
+  WHEN 'BUILDING' THEN 'Required columns are missing: service (or account/region). The file needs a date, a service (or account/region) and a cost column.'
+  WHEN 'FURNITURE' THEN 'This does not look like an AWS billing export. Expected a Cost Explorer CSV (dates in the first column, one column per service) or columns for date, service and cost.'
+  WHEN 'HOUSEHOLD' THEN 'No rows could be read: every row had an invalid date or cost.' ELSE 'The file has a header but no data rows.' END AS message FROM customer""",
 }

@@ -711,3 +711,14 @@ def event_funnel(spark: SparkSession, sf: str) -> DataFrame:
     """Users that sign up, then view, click and buy, whatever else they do between."""
     steps = ["signup", "view", "click", "purchase"]
     return funnel.funnel(funnel.slice_states(star.table(spark, sf, "events"), steps), steps)
+
+
+@query
+def fatal_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A small export for every customer, unusable in a way that the market segment decides: the reason and what is missing."""
+    kinds = {"AUTOMOBILE": "Date,Service\n2026-06-01,EC2\n", "BUILDING": "Date,Cost\n2026-06-01,5\n", "FURNITURE": "Service,Cost\nEC2,5\nS3,6\n",
+             "HOUSEHOLD": "Date,Service,Cost\n2026-06-01,EC2,n/a\n", "MACHINERY": "Date,Service,Cost\n"}
+    text = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("c_mktsegment"))
+    files = star.table(spark, sf, "customer").select(
+        F.lit("star").alias("tenant_id"), t("c_custkey").alias("export_id"), t("c_custkey").alias("path"), F.encode(text, "utf-8").alias("content"))
+    return ParsedExports(files).fatal.select(i("export_id").alias("c_custkey"), "code", "severity", "message")

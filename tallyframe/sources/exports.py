@@ -28,9 +28,10 @@ FATAL_MESSAGES = {
     "no_data_rows": "The file has a header but no data rows.",
     "unsupported_layout": ("This does not look like an AWS billing export. Expected a Cost Explorer CSV (dates in the "
                            "first column, one column per service) or columns for date, service and cost."),
-    "missing_required_columns": "Required columns are missing. The file needs a date, a service (or account/region) and a cost column.",
     "no_valid_rows": "No rows could be read: every row had an invalid date or cost.",
 }
+MISSING_COLUMNS = ("Required columns are missing: ", ". The file needs a date, a service (or account/region) and a cost column.")
+NO_DIMENSION = "service (or account/region)"
 NO_COST_COLUMNS = "No cost columns were found. Export from Cost Explorer with a group-by (for example, Service)."
 
 
@@ -130,7 +131,11 @@ FACTS = ["path", "had_bom", "delimiter", "layout", "primary_dimension", "dimensi
 
 def _file_columns() -> list:
     """Of a shaped file: its facts, why it is unusable, and what typing its rows needs."""
-    message = F.when((F.col("_code") == "missing_required_columns") & (F.col("layout") != "long"), NO_COST_COLUMNS).otherwise(
+    lacks = F.array_compact(F.array(
+        F.when(F.col("_cols.date").isNull(), "date"), F.when(F.col("_cols.cost").isNull(), "cost"), F.when(F.size("_dims") == 0, NO_DIMENSION)))
+    named = F.concat(F.lit(MISSING_COLUMNS[0]), F.array_join(lacks, ", "), F.lit(MISSING_COLUMNS[1]))
+    missing = F.col("_code") == "missing_required_columns"
+    message = F.when(missing & (F.col("layout") == "long"), named).when(missing, NO_COST_COLUMNS).otherwise(
         F.try_element_at(F.create_map(*[F.lit(x) for kv in FATAL_MESSAGES.items() for x in kv]), F.col("_code")))
     return [*KEYS, *FACTS, F.col("_code").alias("fatal_code"), message.alias("fatal_message"), F.size("_header").alias("_width"), "_header_line",
             "_cols", "_columns", layouts.first_currency(F.col("_header")).alias("_currency")]
