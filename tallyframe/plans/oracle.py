@@ -392,4 +392,13 @@ ORACLE: dict[str, str] = {
   WHEN 'BUILDING' THEN 'Required columns are missing: service (or account/region). The file needs a date, a service (or account/region) and a cost column.'
   WHEN 'FURNITURE' THEN 'This does not look like an AWS billing export. Expected a Cost Explorer CSV (dates in the first column, one column per service) or columns for date, service and cost.'
   WHEN 'HOUSEHOLD' THEN 'No rows could be read: every row had an invalid date or cost.' ELSE 'The file has a header but no data rows.' END AS message FROM customer""",
+    "coverage_end": """WITH r AS (SELECT CAST(l_suppkey % 50 AS VARCHAR) AS export_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, last_day(l_shipdate) AS e,
+  CAST(l_shipdate AS DATE) + CAST(CAST(l_quantity AS INT) // 5 - 20 AS INT) AS d, l_linenumber AS k, l_orderkey % 400 = 0 AS p FROM lineitem),
+ g AS (SELECT export_id, m, max(e) AS e, max(t) FILTER (WHERE t >= m) AS reach, bool_or(p) AS p FROM (SELECT *, least(CASE WHEN k < 6 THEN d ELSE d + 20 END, e) AS t FROM r) GROUP BY ALL)
+ SELECT export_id, strftime(m, '%Y-%m') AS month, coalesce(strftime(reach, '%Y-%m-%d'), '-') AS reach, CAST(p AS BIGINT) AS partial,
+  CASE WHEN m >= DATE '2001-11-01' THEN 'month_to_date' WHEN p OR reach < e THEN 'ends_mid_month' ELSE '-' END AS reason FROM g""",
+    "wide_repeats": """WITH o AS (SELECT o_orderkey // 2048 AS chunk, date_trunc('month', o_orderdate) AS m, o_orderkey, o_orderstatus AS s, row_number() OVER (PARTITION BY o_orderkey // 2048 ORDER BY o_orderkey) + 1 AS line FROM orders),
+ l AS (SELECT *, lag(s) OVER (PARTITION BY chunk, m ORDER BY o_orderkey) AS before FROM o)
+ SELECT CAST(chunk AS BIGINT) AS chunk, count(*) FILTER (WHERE s = before) AS repeats, coalesce(min(line) FILTER (WHERE s = before), 0) AS first_line, count(DISTINCT m) FILTER (WHERE s <> before) AS conflicts
+ FROM l GROUP BY chunk HAVING count(before) > 0""",
 }

@@ -722,3 +722,29 @@ def fatal_files(spark: SparkSession, sf: str) -> DataFrame:
     files = star.table(spark, sf, "customer").select(
         F.lit("star").alias("tenant_id"), t("c_custkey").alias("export_id"), t("c_custkey").alias("path"), F.encode(text, "utf-8").alias("content"))
     return ParsedExports(files).fatal.select(i("export_id").alias("c_custkey"), "code", "severity", "message")
+
+
+@query
+def coverage_end(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the rows of a month reach, rows that end before they start left aside, and what that says of the month."""
+    ship, reach = F.col("l_shipdate").cast("date"), F.expr("date_add(cast(l_shipdate AS date), cast(cast(l_quantity AS int) div 5 - 20 AS int))")
+    rows = star.table(spark, sf, "lineitem").select(
+        F.lit("star").alias("tenant_id"), (F.col("l_suppkey") % 50).cast("string").alias("export_id"), F.trunc(ship, "month").alias("period_start"), F.trunc(ship, "month").alias("month"),
+        F.lit(1).cast("decimal(28,15)").alias("cost"), F.lit(False).alias("unallocated"), F.when(F.col("l_linenumber") < 6, F.least(reach, F.last_day(ship))).otherwise(F.least(F.date_add(reach, 20), F.last_day(ship))).alias("period_end"),
+        (F.col("l_orderkey") % 400 == 0).alias("partial"))
+    months = periods.month_coverage(periods.day_totals(rows), star.TODAY)
+    return months.select("export_id", F.date_format("month", "yyyy-MM").alias("month"), F.coalesce(F.date_format("reach", "yyyy-MM-dd"), F.lit("-")).alias("reach"),
+                         i("partial").alias("partial"), F.coalesce("reason", F.lit("-")).alias("reason"))
+
+
+@query
+def wide_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide exports of 2,048 orders, a row an order: rows that repeat the one before them in their month, and months with differing rows."""
+    orders = star.table(spark, sf, "orders").select(
+        F.floor(F.col("o_orderkey") / 2048).alias("chunk"), "o_orderkey", F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-01"), F.ascii("o_orderstatus").cast("string")).alias("text"))
+    body = orders.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "text"))), lambda r: r["text"]), "\n").alias("body"))
+    files = body.select(F.lit("star").alias("tenant_id"), t("chunk").alias("export_id"), t("chunk").alias("path"), F.encode(F.concat(F.lit("Service,EC2($)\n"), "body"), "utf-8").alias("content"))
+    rows = ParsedExports(files).rows
+    repeats = rows.where("reject_reason = 'duplicate_row'").groupBy("export_id").agg(F.count("*").alias("repeats"), F.min("line").alias("first_line"))
+    return repeats.join(records.conflicting_periods(rows).select("export_id", F.col("count").alias("conflicts")), "export_id", "full").select(
+        i("export_id").alias("chunk"), F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce("first_line", F.lit(0)).alias("first_line"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
