@@ -21,7 +21,7 @@ NON_PRODUCTION = r"stag|dev|test|qa|sandbox|uat|demo|preview|lab"
 MAX_PACKET_LABEL = 80
 ALIAS_PREFIX = {"account": "acct", "tag": "tag_value", "cost_category": "category_value", "other": "group"}
 #: Below this a low-confidence note says something about one finding rather than about all of them.
-BARELY_BETTER_THAN_GUESSING = 0.35
+NOTABLE_BELOW = 0.35
 
 
 def masked(label: Column) -> Column:
@@ -48,5 +48,5 @@ def alias_text(dimension: Column, number: Column) -> Column:
 
 def notable_reasons(codes: Column, confidence: Column) -> Column:
     """Reasons that single a finding out: the constant one goes, weak-confidence ones need proof."""
-    weak = F.coalesce(confidence < BARELY_BETTER_THAN_GUESSING, F.lit(False))
+    weak = F.coalesce(confidence < NOTABLE_BELOW, F.lit(False))
     return F.filter(codes, lambda c: (c != "model_requested_review") & (~c.startswith("low_confidence:") | weak))

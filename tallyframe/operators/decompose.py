@@ -97,10 +97,10 @@ def dominant(volume: Column, rate: Column) -> Column:
 
 
 def usage_split(cells: DataFrame) -> DataFrame:
-    """Volume and price effect per finding, NULL-free only where every row reports quantity and unit.
+    """Volume and price effect per finding; no row for findings with a cell that lacks quantity or unit.
 
-    Quantities are compared within one unit and only the money is added across units. A unit seen
-    in one month only is new or retired usage, so all of its money is volume.
+    Each unit is split by itself, then the effects are summed. Where a unit has no positive quantity in one of the
+    months there is no rate to compare, and its whole change counts as volume.
     """
     cost_b, cost_c = F.col("cost_b").try_cast("decimal(20,6)"), F.col("cost_c").try_cast("decimal(20,6)")
     # Only quotients of quantities matter, so very large ones are counted in millions to fit a narrow type.

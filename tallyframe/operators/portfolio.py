@@ -24,7 +24,7 @@ def scoped(df: DataFrame, tenants: DataFrame) -> DataFrame:
 
 
 def teasers(summaries: DataFrame, counts: DataFrame) -> DataFrame:
-    """Headline numbers only: no finding text, owner or next action. Both inputs are one row per export."""
+    """A few fields of each summary for readers who may not see findings yet. Both inputs are one row per export."""
     s = F.col("summary")
     rows = F.coalesce(F.try_element_at(s["largest_changes"], s["dimension"]), F.flatten(F.map_values(s["largest_changes"])))
     up = F.filter(rows, lambda r: r["delta"].cast("decimal(28,2)") > 0)

@@ -10,6 +10,7 @@ from tallyframe.operators.readiness import COMPONENTS
 from tallyframe.schema import KEYS, OWNERSHIP_DIMENSIONS
 
 # ---- fixed values: data-gap and abstention messages ------------------------------------------------
+NO_BREAKDOWN = ("No account or region breakdown in this export; changes are shown by ", " only.")
 BILLING_ONLY = "Billing data only: utilization, ownership and environment are not visible."
 NO_OWNERSHIP = "No team tag or account grouping, so owners cannot be inferred from billing data."
 NO_COMPARISON = "At least two consecutive complete months are needed to compare periods."
@@ -74,8 +75,7 @@ def run_summary(profile: DataFrame, period: DataFrame, coverage: DataFrame, focu
     gaps = F.array_compact(F.array(
         gap("billing_only", F.lit(BILLING_ONLY), F.lit(True)),
         gap("no_account_region", F.concat(
-            F.lit("No account or region breakdown in this export; changes are shown by "),
-            F.lower("dimension_label"), F.lit(" only.")), ~has(["account", "region"])),
+            F.lit(NO_BREAKDOWN[0]), F.lower("dimension_label"), F.lit(NO_BREAKDOWN[1])), ~has(["account", "region"])),
         gap("no_ownership_dimension", F.lit(NO_OWNERSHIP), ~has(OWNERSHIP_DIMENSIONS)),
         gap("no_comparison", F.lit(NO_COMPARISON), ~F.col("has_pair"))))
     delta = F.col("current_total") - F.col("baseline_total")
