@@ -80,7 +80,10 @@ def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def verify_hash(files: DataFrame, source_file: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files that match their recorded hash, load issues). source_file: tenant_id, path, sha256, raw_deleted_at."""
+    """(files that match their recorded hash, load issues). source_file: tenant_id, path, sha256, raw_deleted_at.
+
+    Files without a record are in neither. Only names and hashes are joined: the first result has no contents, which `read_paths` reads."""
+    files = files.drop("content")
     recorded = source_file.select("tenant_id", "path", F.col("sha256").alias("_sha"), F.col("raw_deleted_at").alias("_gone"))
     checked = files.join(recorded, ["tenant_id", "path"])
     code = (F.when(F.col("_gone").isNotNull(), "raw_file_deleted")

@@ -12,7 +12,7 @@ from tallyframe.operators import monthly, packets
 from tallyframe.plans.ingest import ParsedExports, one_per_export
 from tallyframe.schema import KEYS, MAX_FILE_BYTES, PACKET_V1, PARSER_VERSION
 from tallyframe.session import configure, cut
-from tallyframe.sources.landing import FILE_SCHEMA, read_paths, too_large
+from tallyframe.sources.landing import FILE_SCHEMA, read_paths, too_large, verify_hash
 from tallyframe.sources.keyed import KeyedStore
 from tallyframe.sources.ranges import physical_lines
 from tallyframe.sources.sinks import read_table, write_run
@@ -48,19 +48,27 @@ def analyse_files(files: DataFrame, today: date, calls: DataFrame | None = None,
     }
 
 
-def ingest_batch(files: DataFrame, out: str, today: date, batch: str | None = None, split_large: bool = False) -> None:
+def ingest_batch(files: DataFrame, out: str, today: date, batch: str | None = None, split_large: bool = False, source_file: DataFrame | None = None) -> None:
     """Analyse the files not seen before and write their tables. files: path, length, modificationTime.
 
     Contents are hashed where they are read and dropped there. Which files are new is decided on the hashes, and
     only those are read again, so no join moves contents. The batch's size bounds the paths named to the readers.
     An export counts as seen if this parser's version has done it. With a `batch` name tables are kept in buckets
     (`sources.keyed`): a batch reads only the ledger's buckets that its exports can lie in, and the number of files does not
-    grow with exports. `split_large` parses files over the limit in ranges of lines instead of refusing them."""
+    grow with exports. `split_large` parses files over the limit in ranges of lines instead of refusing them. With a
+    `source_file` table of uploads (`landing.verify_hash`) files whose bytes are not those recorded, or whose upload was deleted,
+    become failed runs; files without a record are left alone."""
     spark = files.sparkSession
     arrived = cut(files.select("path", "length", "modificationTime"))
     small = [r.path for r in arrived.where(F.col("length") <= MAX_FILE_BYTES).select("path").collect()]
-    hashed = cut(read_paths(spark, small).select(*KEYS, "path"))
-    fresh, refused = one_per_export(hashed), too_large(arrived)
+    hashed = cut(read_paths(spark, small).select(*KEYS, "path", "length"))
+    refused = too_large(arrived)
+    if source_file is not None:
+        hashed, wrong = verify_hash(hashed, source_file)
+        # The same bytes may lie well under one path and be wrong under another: then the export is analysed.
+        lost = wrong.join(hashed.select(*KEYS), KEYS, "left_anti").groupBy(*KEYS).agg(F.min(F.struct("path", "code", "message")).alias("w"))
+        refused = refused.unionByName(lost.select(*KEYS, "w.path", F.lit(None).cast("bigint").alias("length"), "w.code", "w.message"))
+    fresh = one_per_export(hashed)
     current = f"parser_version = '{PARSER_VERSION}'"
     store = None if batch is None else KeyedStore(spark, out)
     if store is not None:
@@ -74,8 +82,8 @@ def ingest_batch(files: DataFrame, out: str, today: date, batch: str | None = No
     new = read_paths(spark, [r.path for r in fresh.select("path").collect()])
     large = None
     if split_large:
-        large = physical_lines(spark, [r.path for r in refused.select("path").collect()])
-        refused = refused.limit(0)
+        large = physical_lines(spark, [r.path for r in refused.where("code = 'file_too_large'").select("path").collect()])
+        refused = refused.where("code <> 'file_too_large'")
     tables = analyse_files(new, today, refused=refused, large=large)
     if store is not None:
         store.write(tables, batch)
@@ -84,8 +92,8 @@ def ingest_batch(files: DataFrame, out: str, today: date, batch: str | None = No
 
 
 def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, today: date,
-                  max_files: int = 10_000, keyed: bool = False, split_large: bool = False) -> StreamingQuery:
-    """Process what has arrived since the last call and stop. `keyed` and `split_large` as in `ingest_batch`.
+                  max_files: int = 10_000, keyed: bool = False, split_large: bool = False, source_file: DataFrame | None = None) -> StreamingQuery:
+    """Process what has arrived since the last call and stop. `keyed`, `split_large` and `source_file` as in `ingest_batch`.
 
     State lives in the file source's checkpoint and in the written tables; there is no per-key state
     to grow. A batch that is retried after a failure overwrites the partitions it wrote before.
@@ -93,5 +101,5 @@ def ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
     configure(spark)
     arriving = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
                 .option("maxFilesPerTrigger", max_files).load(landing).select("path", "length", "modificationTime"))
-    return (arriving.writeStream.foreachBatch(lambda files, n: ingest_batch(files, out, today, f"ingest-{n}" if keyed else None, split_large))
+    return (arriving.writeStream.foreachBatch(lambda files, n: ingest_batch(files, out, today, f"ingest-{n}" if keyed else None, split_large, source_file))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

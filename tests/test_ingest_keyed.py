@@ -46,3 +46,19 @@ def test_large_files_replays_and_erasing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "PARSER_VERSION", "another")
     ingest.ingest_batch(files.where("path like '%a.csv'"), out, TODAY, "ingest-2", split_large=True)
     assert seen == [0, 1]
+
+
+def test_files_are_checked_against_their_uploads(spark, tmp_path):
+    landing, out = tmp_path / "landing" / "tenant_id=acme", str(tmp_path / "out")
+    landing.mkdir(parents=True)
+    for name, k in (("good", 1), ("changed", 2), ("deleted", 3), ("stray", 4)):
+        (landing / f"{name}.csv").write_text(TEXT.replace("9000", f"900{k}"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "landing"))
+    source = files.where("path NOT LIKE '%stray%'").selectExpr("'acme' AS tenant_id", "path", "if(path LIKE '%changed%', 'x', sha2(content, 256)) AS sha256",
+                                                               "if(path LIKE '%deleted%', timestamp'2026-01-01', null) AS raw_deleted_at")
+    ingest.ingest_batch(files.select("path", "length", "modificationTime"), out, TODAY, "b0", source_file=source)
+    store = KeyedStore(spark, out)
+    codes = {r.code for r in store.table("issue").read().where("severity = 'error'").collect()}
+    assert codes == {"integrity_mismatch", "raw_file_deleted"}
+    assert sorted(r.status for r in store.table("run").read().collect()) == ["completed", "failed", "failed"]
+    assert store.table("record").read().count() == 2
