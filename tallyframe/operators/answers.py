@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.bind import let
 from tallyframe.schema import CATEGORIES, MISSING_LABELS, OWNER_GROUPS, QUESTION_KEYS, RISK_LEVELS, URGENCY_LEVELS
 
 ANSWER_TYPE = ("map<string,struct<type:string,choice:string,confidence:double,score:double,noul:double,"
@@ -82,12 +81,13 @@ def validate_answers(calls: DataFrame, column: str = "answers") -> DataFrame:
         )
         return F.struct(first_bad.alias("bad"), typed.alias("typed"))
 
-    # Bound once: filters on the result are pushed below this step and would repeat the parse.
+    # Parsed in a step that filters on the result cannot pass, so none repeats the parse; judging is compiled, column by column.
     return (
-        calls.withColumn("_j", let(F.from_json(column, ANSWER_TYPE), judge))
+        calls.select("*", F.explode_outer(F.array(F.from_json(column, ANSWER_TYPE))).alias("_p"))
+        .withColumn("_j", judge(F.col("_p")))
         .withColumn("invalid_question", F.col("_j.bad"))
         .withColumn("valid", F.col("invalid_question").isNull())
-        .withColumn("answer", F.when(F.col("_j.bad").isNull(), F.col("_j.typed"))).drop("_j")
+        .withColumn("answer", F.when(F.col("_j.bad").isNull(), F.col("_j.typed"))).drop("_j", "_p")
     )
 
 

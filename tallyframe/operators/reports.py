@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators.answers import validate_answers
 from tallyframe.operators.ranks import middles
 from tallyframe.schema import KEYS
+from tallyframe.session import cut
 
 
 def confusion(decisions: DataFrame) -> DataFrame:
@@ -43,8 +44,11 @@ def variant_report(answered: DataFrame) -> DataFrame:
 
     answered: variant, dimension, rule_category, answer (typed).
     """
+    # Read three times, so the values that the passes need are stored once.
+    needed = ["category", "category_confidence", "owner_confidence", "evidence_sufficient", "needs_human_review"]
     a = F.col("answer")
-    found = answered.where(a.isNotNull())
+    found = cut(answered.where(a.isNotNull()).select(
+        "variant", "dimension", "rule_category", F.struct(*[a[c].alias(c) for c in needed]).alias("answer")))
 
     def half(value: Column, name: str) -> DataFrame:
         middle = middles(found.select("variant", value.alias("_value")), ["variant"], "_value")
