@@ -23,6 +23,8 @@ def agreement(decisions: DataFrame) -> DataFrame:
     decisions: rule_category, model_category, final_category, confidence, review_required. The median
     is the upper middle element, found over ranges of the values.
     """
+    # Read twice, so what both passes need is stored.
+    decisions = cut(decisions.select("rule_category", "model_category", "final_category", "confidence", "review_required"))
     rule, model = F.col("rule_category"), F.coalesce("model_category", F.lit("-"))
     return decisions.agg(
         F.count(F.lit(1)).alias("findings"),
