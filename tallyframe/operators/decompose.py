@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ def primary_label(dims: list[str]) -> Column:
     return F.coalesce(*[F.col(d) for d in PRIMARY_ORDER if d in dims])
 
 
-def movement_cells(findings: DataFrame, records: DataFrame, profile: DataFrame) -> DataFrame:
+def movement_cells(findings: DataFrame, records: DataFrame, profile: DataFrame,
+                   stored: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """One pass over the rows behind each increase, by every grouping and by unit at once.
 
-    Only findings that moved up on the primary dimension are decomposed. They are at most ten per
-    export, so AQE broadcasts them when that stays small and otherwise shuffles and splits skew.
-    Rows leave this step as partial sums per (finding, grouping, label).
+    Only findings that moved up on the primary dimension are decomposed. They are at most ten per export and `stored`
+    before they meet the records, so that the planner broadcasts them when they are small; otherwise AQE shuffles and
+    splits skew. Rows leave this step as partial sums per (finding, grouping, label).
     """
     sides = F.array(F.struct(F.col("baseline_month").alias("month"), F.lit(False).alias("is_current")),
                     F.struct(F.col("current_month").alias("month"), F.lit(True).alias("is_current")))
@@ -38,7 +41,7 @@ def movement_cells(findings: DataFrame, records: DataFrame, profile: DataFrame)
     )
     dims = dimensions_of(records)
     rows = (
-        records.withColumn("_label", primary_label(dims)).join(subject, [*KEYS, "_label", "month"])
+        records.withColumn("_label", primary_label(dims)).join(stored(subject), [*KEYS, "_label", "month"])
         .withColumn(UNIT, F.coalesce("unit", F.lit("")))
         .withColumn("quantified", F.col("quantity").isNotNull() & (F.coalesce("unit", F.lit("")) != ""))
     )
@@ -162,9 +165,10 @@ def missing_evidence(kind: Column, decomposed: Column, parts: Column, split: Col
             .when(decomposed, derived).otherwise(default))
 
 
-def decompose(findings: DataFrame, records: DataFrame, moves: DataFrame, profile: DataFrame) -> DataFrame:
-    """Findings with components, usage split and the evidence they lack."""
-    cells = movement_cells(findings, records, profile)
+def decompose(findings: DataFrame, records: DataFrame, moves: DataFrame, profile: DataFrame,
+              stored: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Findings with components, usage split and the evidence they lack. The cells are read twice, so they are `stored`."""
+    cells = stored(movement_cells(findings, records, profile, stored))
     parts = components(cells, informative_dimensions(moves, profile))
     splits = usage_split(cells)
     about = profile.select(*KEYS, "primary_dimension", "dimensions_available")

@@ -70,8 +70,11 @@ class Analysis:
         gaps = self.ranked.where(F.col("kind") == "unallocated_spend").select(
             *KEYS, "evidence_id", F.col("current_month").alias("month"))
         keys = self.moves.where("unallocated").select(*KEYS, "dimension", "label")
-        wanted = rises.unionByName(gaps.join(keys, KEYS))
-        return monthly.source_refs(self.records, wanted, [*KEYS, "evidence_id"])
+        # Stored, so that its true size is known: a product of estimates would shuffle all records by every dimension.
+        wanted = self._cut(rises.unionByName(gaps.join(keys, KEYS)))
+        # Records of other months drop out before they are unpivoted, also where many labels are wanted.
+        asked = self.ranked.select(*KEYS, months).distinct()
+        return monthly.source_refs(self.records.join(asked, [*KEYS, "month"], "left_semi"), wanted, [*KEYS, "evidence_id"])
 
     @cached_property
     def history(self) -> DataFrame:
@@ -80,7 +83,7 @@ class Analysis:
     @cached_property
     def findings(self) -> DataFrame:
         """Ranked findings with components, usage split, missing evidence, history and references."""
-        full = decompose.decompose(self.ranked, self.records, self.moves, self.profile)
+        full = decompose.decompose(self.ranked, self.records, self.moves, self.profile, self._cut)
         return self._cut(
             full.join(self.history, [*KEYS, "evidence_id"], "left")
             .join(self.refs, [*KEYS, "evidence_id"], "left")

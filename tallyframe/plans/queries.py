@@ -44,7 +44,8 @@ def _once(spark: SparkSession, key: tuple, build: Callable[[], object]) -> objec
 
 def analysis(spark: SparkSession, sf: str, variant: str = "tagged") -> Analysis:
     def build() -> Analysis:
-        rows = star.records(spark, sf, variant)
+        # Read several times, by dates, by months and behind findings: the joins run once, for all variants.
+        rows = star.varied(_once(spark, ("records", sf), lambda: cut(star.records(spark, sf))), variant)
         coverage = cut(periods.month_coverage(periods.day_totals(rows), star.TODAY))
         return Analysis(rows, star.profile_of(coverage), star.TODAY, coverage=coverage)
     return _once(spark, ("analysis", sf, variant), build)

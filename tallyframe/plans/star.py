@@ -45,41 +45,52 @@ def environment() -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str, variant: str = "tagged", grain: str = "month") -> DataFrame:
-    """cost_record from lineitem and its dimensions.
+    """cost_record from lineitem and its dimensions; see `varied` for the variants.
 
-    variant "tagged": every row has an owner tag. "untagged": one segment has none. "launch": rows of
-    one brand in the last complete month carry a label never seen before.
-    """
+    Orders meet their customers before the line items come, so these are shuffled once for each of their own three
+    keys at most, as few narrow numbers; costs are worked out at the end."""
     t = lambda name: table(spark, sf_dir, name)
     customer = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
         t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "c_mktsegment", "r_name")
     supplier = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", "s_name", "n_name")
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(
+        customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", "c_mktsegment", "r_name")
+    part = t("part").select("p_partkey", "p_brand", "p_type")
     day = F.col("l_shipdate").cast("date")
-    month = F.trunc(day, "month")
-    service = F.col("p_brand")
-    if variant == "launch":
-        service = F.when((month == F.lit(LAUNCH)) & (service == LAUNCH_BRAND), F.concat(service, F.lit(" Next"))).otherwise(service)
-    tag = F.col("c_mktsegment")
-    if variant == "untagged":
-        tag = F.when(tag == UNTAGGED_SEGMENT, "No tag key: segment").otherwise(tag)
+    month = F.trunc("day", "month")
+    lines = t("lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", day.alias("day"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("l_extendedprice"), F.col("l_discount").cast("decimal(4,2)").alias("l_discount"))
     rows = (
-        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
-    return rows.select(
+    tag = F.col("c_mktsegment")
+    return varied(rows.select(
         F.col("r_name").alias("tenant_id"), F.col("r_name").alias("export_id"),
-        (day if grain == "day" else month).alias("period_start"), month.alias("month"),
-        service.alias("service"), F.col("p_type").alias("usage_type"), F.col("s_name").alias("account"),
+        (F.col("day") if grain == "day" else month).alias("period_start"), month.alias("month"),
+        F.col("p_brand").alias("service"), F.col("p_type").alias("usage_type"), F.col("s_name").alias("account"),
         F.col("n_name").alias("region"), tag.alias("tag"), environment().alias("environment"),
         F.col("l_returnflag").alias("charge_type"),
         line_cost().cast("decimal(28,15)").alias("cost"), F.lit("USD").alias("currency"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), F.lit(None).cast("int").alias("col"),
         is_unallocated_label(tag).alias("unallocated"),
         F.col("l_quantity").cast("decimal(38,15)").alias("quantity"), F.col("l_returnflag").alias("unit"),
-    )
+    ), variant)
+
+
+def varied(rows: DataFrame, variant: str) -> DataFrame:
+    """variant "tagged": every row has an owner tag. "untagged": one segment has none. "launch": rows of
+    one brand in the last complete month carry a label never seen before."""
+    service, tag = F.col("service"), F.col("tag")
+    if variant == "launch":
+        return rows.withColumn("service", F.when((F.col("month") == F.lit(LAUNCH)) & (service == LAUNCH_BRAND), F.concat(service, F.lit(" Next"))).otherwise(service))
+    if variant == "untagged":
+        bare = F.when(tag == UNTAGGED_SEGMENT, "No tag key: segment").otherwise(tag)
+        return rows.withColumns({"tag": bare, "unallocated": is_unallocated_label(bare)})
+    return rows
 
 
 def profile(records_df: DataFrame) -> DataFrame:
