@@ -58,7 +58,8 @@ def classify_rows(lines: DataFrame) -> DataFrame:
     """
     rows = data_lines(lines)
     long_rows = rows.where(F.col("layout") == "long")
-    judged = long_rows.join(first_copies(long_rows), [*KEYS, "signature"], "left")
+    # Repeated signatures, one short row each, are hashed task by task; the rows pass by unsorted, so sorting spills none of them.
+    judged = long_rows.join(first_copies(long_rows).hint("shuffle_hash"), [*KEYS, "signature"], "left")
     cost = F.col("cost.status")
     long_reason = (
         F.when(~F.col("width_ok"), "field_count_mismatch")
@@ -88,6 +89,24 @@ def classify_rows(lines: DataFrame) -> DataFrame:
     return long_done.unionByName(wide_done)
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """Of classified rows what counts, sums and rejections need. Labels and other dates of a row, most of its bytes, are
+    then neither moved to its first copy nor sorted."""
+    return rows.select(
+        *KEYS, "line", "layout", "period_start", "reject_reason", "reject_col", "conflict", "cost", "currency",
+        F.col("quantity.status").alias("quantity_status"), "quantity_idx", "cells")
+
+
+def keyed_costs(lines: DataFrame) -> DataFrame:
+    """Costs of accepted long rows under a digest of all their dimensions, made before rows meet their first copies."""
+    keyed = lines.withColumn("_key", F.when(F.col("layout") == "long", key_digest(lines)))
+    return accepted_long(classify_rows(keyed)).select(*KEYS, "period_start", "_key", "line", F.col("cost.value").alias("cost"))
+
+
+def accepted_long(rows: DataFrame) -> DataFrame:
+    return rows.where((F.col("layout") == "long") & F.col("reject_reason").isNull())
+
+
 def wide_cells(rows: DataFrame) -> DataFrame:
     """One row per value cell of every accepted wide row (the total column is not one)."""
     accepted = rows.where((F.col("layout") == WIDE) & F.col("reject_reason").isNull())
@@ -97,8 +116,7 @@ def wide_cells(rows: DataFrame) -> DataFrame:
 
 
 def long_records(rows: DataFrame) -> DataFrame:
-    accepted = rows.where((F.col("layout") == "long") & F.col("reject_reason").isNull())
-    return accepted.select(
+    return accepted_long(rows).select(
         *KEYS, "period_start", F.trunc("period_start", "month").alias("month"), *DIMENSIONS,
         F.col("cost.value").alias("cost"), "currency", "line", F.lit(None).cast("int").alias("col"), "unallocated",
         F.col("quantity.value").alias("quantity"), "unit", "period_end", "partial")
@@ -121,14 +139,20 @@ def cost_records(rows: DataFrame, file_facts: DataFrame) -> DataFrame:
     return long_records(rows).unionByName(wide_records(rows, file_facts)).select(*COST_RECORD.fieldNames())
 
 
+def amounts(rows: DataFrame, file_facts: DataFrame) -> DataFrame:
+    """What cost records amount to, of judged rows: cost and currency, and the column for a wide cell."""
+    wide = wide_cells(rows).where(F.col("status") == "ok").join(file_facts.select(*KEYS), KEYS)
+    return accepted_long(rows).select(*KEYS, F.lit(None).cast("int").alias("col"), F.col("cost.value").alias("cost"), "currency").unionByName(
+        wide.select(*KEYS, (F.col("idx") + 1).cast("int").alias("col"), F.col("value").alias("cost"), "currency"))
+
+
 def rejections(rows: DataFrame) -> DataFrame:
-    """Every rejected line or cell: position and reason, never content. `scope` says which it is."""
+    """Every rejected line or cell of judged rows: position and reason, never content. `scope` says which it is."""
     by_line = rows.where(F.col("reject_reason").isNotNull()).select(
         *KEYS, "line", F.col("reject_reason").alias("reason"), F.col("reject_col").cast("int").alias("col"),
         # An unreadable cost counts as a rejected line and as a rejected cell.
         F.lit(1).alias("lines"), F.when(F.col("reject_reason").isin("invalid_number", "out_of_range"), 1).otherwise(0).alias("cells"))
-    quantities = rows.where((F.col("layout") == "long") & F.col("reject_reason").isNull()
-                            & F.col("quantity.status").isin("invalid", "out_of_range")).select(
+    quantities = accepted_long(rows).where(F.col("quantity_status").isin("invalid", "out_of_range")).select(
         *KEYS, "line", F.lit("invalid_number").alias("reason"), (F.col("quantity_idx") + 1).cast("int").alias("col"),
         F.lit(0).alias("lines"), F.lit(1).alias("cells"))
     bad = wide_cells(rows).where(F.col("status").isin("invalid", "out_of_range")).select(
@@ -143,11 +167,19 @@ def sample_rejections(rejected: DataFrame, n: int = 50) -> DataFrame:
     return rejected.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select(*KEYS, "line", "reason", "col")
 
 
+def key_digest(rows: DataFrame) -> Column:
+    return F.md5(F.to_json(F.struct(*[d for d in DIMENSIONS if d in rows.columns])))
+
+
 def conflicting_keys(records: DataFrame) -> DataFrame:
     """Long: accepted rows whose cost differs from the previous row of the same date and dimensions."""
-    keyed = records.where(F.col("col").isNull()).withColumn(
-        "_key", F.md5(F.to_json(F.struct(*[d for d in DIMENSIONS if d in records.columns]))))
-    seen = previous_in(keyed.select(*KEYS, "period_start", "_key", "line", "cost"), [*KEYS, "period_start", "_key"], F.col("cost"))
+    return conflicting_costs(records.where(F.col("col").isNull()).withColumn("_key", key_digest(records)).select(
+        *KEYS, "period_start", "_key", "line", "cost"))
+
+
+def conflicting_costs(keyed: DataFrame) -> DataFrame:
+    """Rows of `keyed_costs` whose cost differs from the previous row of the same date and key, counted."""
+    seen = previous_in(keyed, [*KEYS, "period_start", "_key"], F.col("cost"))
     return seen.where(F.col("previous").isNotNull() & (F.col("previous") != F.col("cost"))).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("count"))
 

@@ -36,36 +36,48 @@ class ParsedExports:
     def rows(self) -> DataFrame:
         return self._cut(records.classify_rows(self.lines))
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Rows without their labels: all that counts, sums and rejections read. Stored rows are not classified again."""
+        if "rows" in vars(self):
+            return records.judged(self.rows)
+        return self._cut(records.judged(records.classify_rows(self.lines)))
+
     @cached_property
     def records(self) -> DataFrame:
         return records.cost_records(self.rows, self.facts)
 
     @cached_property
     def rejections(self) -> DataFrame:
-        return records.rejections(self.rows)
+        return records.rejections(self.judged)
 
     @cached_property
     def rejection_sample(self) -> DataFrame:
         return records.sample_rejections(self.rejections)
 
+    @cached_property
+    def amounts(self) -> DataFrame:
+        return records.amounts(self.judged, self.facts)
+
     @cached_property
     def currency(self) -> DataFrame:
-        return quality.currency_consensus(self.records, self.facts)
+        return quality.currency_consensus(self.amounts, self.facts)
 
     @cached_property
     def profile(self) -> DataFrame:
-        counts = quality.line_counts(self.rows, self.rejections)
-        return self._cut(quality.export_profile(self.facts, counts, self.records, self.currency))
+        counts = quality.line_counts(self.judged, self.rejections)
+        return self._cut(quality.export_profile(self.facts, counts, self.amounts, self.currency))
 
     @cached_property
     def reconciliation(self) -> DataFrame:
-        return records.reconcile(self.lines, self.rows)
+        return records.reconcile(self.lines, self.judged)
 
     @cached_property
     def issues(self) -> DataFrame:
+        stored = "rows" in vars(self)
+        conflicts = records.conflicting_keys(self.records) if stored else records.conflicting_costs(self._cut(records.keyed_costs(self.lines)))
         return quality.quality_issues(
-            self.profile, self.rejections, records.conflicting_keys(self.records),
-            records.conflicting_periods(self.rows), self.reconciliation)
+            self.profile, self.rejections, conflicts, records.conflicting_periods(self.judged), self.reconciliation)
 
     @cached_property
     def fatal(self) -> DataFrame:
