@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallyframe.session import cut
 
-__all__ = ["append_column", "batch_settings", "cut", "partitions", "read", "slots", "utf8"]
+__all__ = ["append_column", "batch_settings", "cut", "partitions", "read", "slots", "utf8", "with_hint"]
 
 
 def batch_settings(spark: SparkSession) -> None:
@@ -65,3 +65,18 @@ def append_column(df: DataFrame, name: str, kind: T.DataType, source: str, fn: C
 def slots(*columns: str) -> F.Column:
     """A hash of the columns, the same for equal rows in every run."""
     return F.xxhash64(*[F.col(c) for c in columns])
+
+
+def with_hint(rows: DataFrame, wanted: DataFrame, keys: list[str], name: str = "_hint") -> DataFrame:
+    """rows with a boolean `name`: false only where no row of the stored table wanted has these keys, so that such rows need not be
+    shuffled to be joined. The hint is a bit for each hash, eight to a wanted row; one other row in nine at most passes until the bitmap
+    reaches 8 MB, more beyond that."""
+    bits = min(1 << 26, max(1 << 15, 1 << (8 * wanted.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(bits))
+    place = F.lit(1 << 15).cast("long")
+    maps = wanted.select(F.floor(slot / place).alias("_page"), (slot % place).alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    paged = rows.withColumn("_slot", slot).withColumn("_at", F.floor(F.col("_slot") / place))
+    found = paged.join(F.broadcast(maps), F.col("_at") == F.col("_page"), "left")
+    byte = "cast(conv(hex(substring(_bits, cast(_slot % 32768 div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    hit = F.coalesce(F.expr(f"shiftright({byte}, cast(_slot % 8 AS int)) & 1 = 1"), F.lit(False))
+    return found.withColumn(name, hit).drop("_slot", "_at", "_page", "_bits")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_column, cut, partitions, read
+from .common import append_column, cut, partitions, read, with_hint
 from .graph import components
 
 RADIUS, SHINGLE, SEED, TREE_SIZE, PAIRS_AT_ONCE = 3, 3, 42, 512, 1_000_000
@@ -259,13 +259,22 @@ def _medoids(members: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, "bucket long, node long")
 
 
-def _plausible(rows: DataFrame, least: float, wanted: str) -> DataFrame:
-    """What may be similar among rows (bucket, tile, ask, node, part, size, shared, marks): those that ask with those that do not, of another part.
-    Sizes are within the bound, enough minima are equal (sets of similarity 0.8 agree in fewer than ENOUGH of 64 with
-    probability under one in 100,000), and the shingles shared with anything suffice.
+def _fits(part: tuple[np.ndarray, np.ndarray], size: tuple[np.ndarray, np.ndarray], shared: tuple[np.ndarray, np.ndarray], marks: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(equal minima, whether similar at all) of those that ask with the others, each column given for both. Sizes are within the bound,
+    enough minima are equal (sets of similarity 0.8 agree in fewer than ENOUGH of 64 with probability under one in 100,000),
+    and the shingles shared with anything suffice."""
+    met = (marks[0][:, None, :] == marks[1][None, :, :]).sum(2, dtype=np.uint8)
+    fits = (met >= ENOUGH) & (part[1][None, :] != part[0][:, None])
+    x, y = size[0][:, None], size[1][None, :]
+    fits &= np.minimum(x, y) >= least * np.maximum(x, y)
+    fits &= np.minimum(shared[0][:, None], shared[1][None, :]) * (1 + least) >= least * (x + y) - 1e-6
+    return met, fits
+
 
-    wanted: `best`, (node, other, met) with the one of most equal minima in a tile; `nodes`, (node) those that have any; `pairs`, (node, other)."""
-    names = {"best": ["node", "other", "met"], "nodes": ["node"], "pairs": ["node", "other"]}[wanted]
+def _plausible(rows: DataFrame, least: float, wanted: str) -> DataFrame:
+    """What may be similar among rows (bucket, tile, ask, node, part, size, shared, marks): those that ask with those that do not, of another part,
+    by the bounds of `_fits`. wanted: `best`, (node, other, met) with the one of most equal minima in a tile; `nodes`, (node) those that have any."""
+    names = {"best": ["node", "other", "met"], "nodes": ["node"]}[wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, 2):
@@ -277,20 +286,13 @@ def _plausible(rows: DataFrame, least: float, wanted: str) -> DataFrame:
             step = max(1, 4_000_000 // (64 * len(others)))
             for at in range(0, len(asks), step):
                 some = asks[at:at + step]
-                met = (marks[some][:, None, :] == marks[others][None, :, :]).sum(2, dtype=np.uint8)
-                fits = (met >= ENOUGH) & (part[others][None, :] != part[some][:, None])
-                x, y = size[some][:, None], size[others][None, :]
-                fits &= np.minimum(x, y) >= least * np.maximum(x, y)
-                fits &= np.minimum(shared[some][:, None], shared[others][None, :]) * (1 + least) >= least * (x + y) - 1e-6
+                met, fits = _fits(*((c[some], c[others]) for c in (part, size, shared, marks)), least)
                 if wanted == "best":
                     i = np.flatnonzero(fits.any(1))
                     j = np.where(fits, met, 0).argmax(1)[i]
                     out = [node[some[i]], node[others[j]], met[i, j].astype(np.int32)]
-                elif wanted == "nodes":
-                    out = [np.concatenate([node[some[fits.any(1)]], node[others[fits.any(0)]]])]
                 else:
-                    i, j = np.nonzero(fits)
-                    out = [np.minimum(node[some[i]], node[others[j]]), np.maximum(node[some[i]], node[others[j]])]
+                    out = [np.concatenate([node[some[fits.any(1)]], node[others[fits.any(0)]]])]
                 if len(out[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
@@ -299,6 +301,96 @@ def _plausible(rows: DataFrame, least: float, wanted: str) -> DataFrame:
     return ready.mapInArrow(run, ", ".join(f"{c} {'int' if c == 'met' else 'long'}" for c in names))
 
 
+def _own_pairs(bucket: int, ask: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ask, other, equal minima) of the pairs that `_fits` leaves and that are this bucket's to look at: it is the first they share,
+    and of two outside its largest group the smaller asks. Both sides: node, part, size, shared, marks, buckets, lone."""
+    met, fits = _fits(*zip(ask[1:5], other[1:5], strict=True), least)
+    i, j = np.nonzero(fits)
+    first = (ask[5][i] == other[5][j]).argmax(1)
+    mine = (ask[5][i, first] == bucket) & (~ask[6][i] | (ask[0][i] < other[0][j]))
+    return i[mine], j[mine], met[i[mine], j[mine]]
+
+
+def _sides(table: pa.Table, at: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """The columns of a block (ask and those of `_own_pairs`, from column `at`), which rows ask and which do not."""
+    ask, node, part, size, shared = (table.column(at + c).to_numpy() for c in range(5))
+    marks = np.frombuffer(b"".join(table.column(at + 5).to_pylist()), np.uint8).reshape(len(ask), -1)
+    buckets = table.column(at + 6).combine_chunks().flatten().to_numpy().reshape(len(ask), -1)
+    return (node, part, size, shared, marks, buckets, table.column(at + 7).to_numpy()), np.flatnonzero(ask), np.flatnonzero(~ask)
+
+
+_FACED = ["ask", "node", "part", "size", "shared", "marks", "buckets", "lone"]
+
+
+def _joining(rows: DataFrame, classes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (node, other) that connect the parts which similar pairs among rows (bucket, tile and _FACED) connect: of those that ask
+    with those that do not. First the rows that have a pair to verify are found; then their texts meet in blocks of a tile and
+    at most about IN_TILE that ask. In a block likelier pairs come first, and pairs of parts already connected there are not compared again, so links are
+    fewer than its rows. Pairs themselves are never rows."""
+    names = ["bucket", "tile", "ask", "node"]
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, 2):
+            columns, asks, others = _sides(table, 2)
+            if not len(asks) or not len(others):
+                continue
+            used = np.zeros(table.num_rows, bool)
+            step, bucket = max(1, 4_000_000 // (64 * len(others))), table.column(0)[0].as_py()
+            for at in range(0, len(asks), step):
+                some = asks[at:at + step]
+                i, j, _ = _own_pairs(bucket, tuple(c[some] for c in columns), tuple(c[others] for c in columns), least)
+                used[some[i]] = used[others[j]] = True
+            if used.any():
+                yield from table.select([0, 1, 2, 3]).rename_columns(names).filter(pa.array(used)).to_batches()
+
+    n = partitions(rows.sparkSession)
+    ready = rows.select("bucket", "tile", *_FACED).repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile", "ask", "node")
+    found = cut(ready.mapInArrow(hits, "bucket long, tile int, ask boolean, node long"))
+    bodies = _texts_of(found.select("node"), classes, texts)
+    blocks = found.where("ask").groupBy("bucket", "tile").agg(F.ceil(F.count("*") / IN_TILE).cast("int").alias("blocks"))
+    whole = rows.join(found, names).join(cut(blocks), ["bucket", "tile"]).withColumn("block", F.explode(F.when(
+        F.col("ask"), F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))).join(bodies, "node")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, 3):
+            columns, asks, others = _sides(table, 3)
+            if not len(asks) or not len(others):
+                continue
+            bodies, sets = table.column(11).cast(pa.binary()), {}
+            step, bucket = max(1, 4_000_000 // (64 * len(others))), table.column(0)[0].as_py()
+            pairs = []
+            for at in range(0, len(asks), step):
+                some = asks[at:at + step]
+                i, j, met = _own_pairs(bucket, tuple(c[some] for c in columns), tuple(c[others] for c in columns), least)
+                pairs.append((some[i], others[j], met))
+            a, b, met = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            order = np.lexsort((b, a, -met.astype(np.int64)))
+            node, part = columns[0].tolist(), columns[1].tolist()
+            above = {p: p for p in part}
+
+            def top(p: int) -> int:
+                while above[p] != p:
+                    above[p] = p = above[above[p]]
+                return p
+
+            def held(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(bodies[k].as_py())
+                return sets[k]
+
+            out = []
+            for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                p, q = top(part[x]), top(part[y])
+                if p != q and jaccard(held(x), held(y)) >= least:
+                    above[p] = q
+                    out.append((node[x], node[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["node", "other"])
+
+    dealt = whole.select("bucket", "tile", "block", *_FACED, "text").repartition(n, "bucket", "tile", "block").sortWithinPartitions("bucket", "tile", "block", "ask", "node")
+    return cut(dealt.mapInArrow(links, "node long, other long"))
+
+
 def _shared_counts(texts: DataFrame) -> DataFrame:
     """(node, shared): how many of a text's shingles some other text of the table (node, text) holds too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,9 +405,9 @@ def _shared_counts(texts: DataFrame) -> DataFrame:
 
 
 def _texts_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, text) of some classes. Only their ids meet the texts."""
+    """(node, text) of some classes. Only their ids meet the texts, and texts whose ids are surely not among them are not moved."""
     wanted = cut(nodes.distinct().join(classes.select("node", "id", "key"), "node"))
-    return texts.join(wanted, ["id", "key"]).dropDuplicates(["node"]).select("node", "text")
+    return with_hint(texts, wanted, ["id"]).where("_hint").join(wanted, ["id", "key"]).dropDuplicates(["node"]).select("node", "text")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -364,7 +456,7 @@ def repeated_in_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     the smallest ids: the one most like it by their minima is verified. That joins a group of copies whatever its size. Then
     classes of different groups that still share a bucket are compared, all but those within a bucket's largest group: those that the bounds on
     sizes and minima leave are looked at for the shingles they share with any other of them, and the pairs that this bound leaves
-    too are verified, all of them. There are two passes whatever the data; hot buckets are cut into tiles."""
+    too are verified where their texts meet (`_joining`), until their groups are connected. There are two passes whatever the data; hot buckets are cut into tiles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, sizes, marks, buckets, prints = [], [], [], [], []
@@ -403,14 +495,13 @@ def repeated_in_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     mixed = cut(main.where("n > most").select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / IN_TILE).cast("int").alias("tiles")))
     open_ = parted.join(mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
 
-    def facing(rows: DataFrame, shared: F.Column) -> DataFrame:
-        return rows.select(*columns, every, told(True), "part", shared).unionByName(rows.where("part <> main").select(*columns, "tile", told(False), "part", shared))
+    def facing(rows: DataFrame, *shared: F.Column | str) -> DataFrame:
+        return rows.select(*columns, every, told(True), "part", *shared).unionByName(rows.where("part <> main").select(*columns, "tile", told(False), "part", *shared))
 
     flagged = cut(_plausible(facing(open_, whole), least, "nodes").distinct())
     counts = cut(_shared_counts(_texts_of(flagged, classes, texts)))
-    bounded = open_.join(counts, "node")
-    rest = _plausible(facing(bounded, F.col("shared")), least, "pairs").distinct().join(links.selectExpr("least(node, other) AS node", "greatest(node, other) AS other"), ["node", "other"], "left_anti")
-    more = _verified(rest, classes, texts, least)
+    bounded = open_.join(counts, "node").join(classes.select("node", "buckets"), "node")
+    more = _joining(facing(bounded, F.col("shared"), "buckets", (F.col("part") != F.col("main")).alias("lone")), classes, texts, least)
     groups = cut(components(links.unionByName(more).select(F.col("node").alias("u"), F.col("other").alias("v"))))
     named = classes.join(groups, "node", "left").select("whole", "id", F.coalesce("component", "node").alias("part"))
     smallest = named.groupBy("part").agg(F.min("id").alias("first"))

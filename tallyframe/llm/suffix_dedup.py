@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_column, cut, partitions, read, utf8
+from .common import append_column, cut, partitions, read, utf8, with_hint
 from .occurrences import HOT, NULL_ID, REPEAT, SHARED, SPREAD, by_bucket, document_bucket, keyed, marks, mix, pack, per_document, ranked, split
 
 #: Bytes of a repeat and of an anchor; bytes handled at once when anchors are sought, and by one transform.
@@ -261,7 +261,9 @@ def _compared(candidates: DataFrame, buckets: int) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(k, h, spans) for documents (k, h, text) with repeated bytes; spans: list of packed starts and lengths."""
     buckets = partitions(docs.sparkSession) * SPREAD
-    joined = docs.join(marks(docs, _items), ["k", "h"]).select("k", "h", "text", "marks")
+    marked = cut(marks(docs, _items))
+    # Texts without a marked run are not moved to meet marks.
+    joined = with_hint(docs, marked, ["k", "h"]).where("_hint").join(marked, ["k", "h"]).select("k", "h", "text", "marks")
     candidates = cut(_candidates(joined, buckets))
     whole = candidates.where("kind = 2").select("k", "h", F.col("payload").alias("marks"))
     return whole.unionByName(_compared(candidates, buckets)).groupBy("k", "h").agg(F.collect_list("marks").alias("spans"))
@@ -313,8 +315,11 @@ def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated bytes; n_chars follows. Broken characters at the edges go as a whole: bytes
     of a cut character are dropped. Documents that nothing is left of go; untouched ones stay as they are, empty ones too."""
     row = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64("text")})
-    spans = repeats(keyed(docs)).select(F.col("k").alias("_k"), F.col("h").alias("_h"), "spans")
-    joined = row.join(spans.withColumnRenamed("spans", "_spans"), ["_k", "_h"], "left").withColumn("_both", F.struct(F.col("text").alias("text"), F.col("_spans").alias("spans")))
+    spans = cut(repeats(keyed(docs)).select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("spans").alias("_spans")))
+    hinted = with_hint(row, spans, ["_k", "_h"])
+    # Documents without repeats stay where they are; only the others meet their spans.
+    met = hinted.where("_hint").join(spans, ["_k", "_h"], "left").unionByName(hinted.where("NOT _hint").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType)))
+    joined = met.drop("_hint").withColumn("_both", F.struct(F.col("text").alias("text"), F.col("_spans").alias("spans")))
 
     def kept(rows: pa.Array) -> pa.Array:
         done = _removed(rows)
