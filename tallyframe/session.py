@@ -59,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all cores by their keys, however few splits or row groups they are read from. For narrow rows
+    that each cost much later: a number that is asked for is not coalesced by size. A task of parsing costs
+    some tenths of a second before its first row, so there are a few a core and no more."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a scan that has fewer splits than cores (a few small files). A scan with
     enough splits, which is every large one, is left alone and nothing is shuffled."""
