@@ -47,6 +47,14 @@ class ParsedExports:
     def records(self) -> DataFrame:
         return records.cost_records(self.rows, self.facts)
 
+    @property
+    def records_once(self) -> DataFrame:
+        """Records for a single pass: rows that are not stored yet are not stored for it, and only what is read of them
+        meets their first copies."""
+        if "rows" in vars(self):
+            return self.records
+        return records.cost_records(records.classify_rows(self.lines), self.facts)
+
     @cached_property
     def rejections(self) -> DataFrame:
         return records.rejections(self.judged)

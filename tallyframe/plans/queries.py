@@ -623,7 +623,7 @@ def parse_long(spark, sf):
 
 @query
 def long_records(spark, sf):
-    r = parsed(spark, sf, "long").records
+    r = parsed(spark, sf, "long").records_once
     return r.groupBy("service", "tag", t("month").alias("month")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.sum("quantity").alias("quantity"),
         F.count_if("unallocated").alias("unallocated")).select(

@@ -75,12 +75,13 @@ def without_newline(record: Column) -> Column:
             .when(record.endswith("\n") | record.endswith("\r"), cut(1)).otherwise(record))
 
 
-def records_of(text: Column, delimiter: Column) -> Column:
-    """Records with their line ends, or without them in text that has no quote. The empty match at the
-    end of the text is dropped; blank records are still there."""
+def records_of(text: Column, delimiter: Column, plain: Column | None = None) -> Column:
+    """Records with their line ends, or without them in text that has no quote or is known to be `plain`: no line end
+    is inside quotes. The empty match at the end of the text is dropped; blank records are still there."""
     found = by_delimiter(delimiter, lambda d: F.regexp_extract_all(text, F.lit(record_pattern(d)), F.lit(0)))
     lines = F.when(text.contains("\r"), F.split(text, NEWLINE, -1)).otherwise(F.split(text, "\n", -1))
-    return F.when(text.contains('"'), F.filter(found, lambda r: r != "")).when(
+    whole = text.contains('"') if plain is None else ~plain & text.contains('"')
+    return F.when(whole, F.filter(found, lambda r: r != "")).when(
         text.rlike(r"[\r\n]\z"), F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
 
 
@@ -144,7 +145,9 @@ def oversize_code(blocks: Column, delimiter: Column) -> Column:
         several = (line_ends(b) != BLOCK) & b.contains('"')
         marks = F.transform(records_of(b, delimiter), lambda r, j: F.when(
             F.length(r) >= MAX_COLUMNS, F.struct((i * BLOCK + j).alias("at"), code(r).alias("code"))))
-        return F.when(b.rlike(rf"(?:\A|[\r\n])[^\r\n]{{{MAX_COLUMNS - 1}}}") | several,
+        # Line after line from the start, so that a line is passed over once.
+        long_line = b.rlike(rf"\A(?:[^\r\n]{{0,{MAX_COLUMNS - 2}}}+[\r\n])*+[^\r\n]{{{MAX_COLUMNS - 1}}}")
+        return F.when(long_line | several,
                       F.get(F.filter(marks, lambda m: m["code"].isNotNull()), F.lit(0)))
 
     bad = F.get(F.filter(F.transform(blocks, first_bad), lambda m: m.isNotNull()), F.lit(0))
@@ -163,12 +166,14 @@ def extra_lines(records: Column) -> Column:
 
 
 def numbered_blocks(blocks: Column) -> Column:
-    """array<struct(before, text)>: blocks with the physical line before each, ready to explode."""
+    """array<struct(before, text, plain)>: blocks with the physical line before each, ready to explode. A block before
+    the last holds BLOCK records; with as many line ends none of these is inside quotes, and it is plain."""
     return let(F.transform(blocks, line_ends), lambda ends: F.transform(blocks, lambda b, i: F.struct(
-        F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda s, e: s + e).alias("before"), b.alias("text"))))
+        F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda s, e: s + e).alias("before"), b.alias("text"),
+        ((i + 1 < F.size(ends)) & (F.get(ends, i) == BLOCK)).alias("plain"))))
 
 
-def numbered_records(before: Column, text: Column, delimiter: Column) -> Column:
+def numbered_records(before: Column, text: Column, delimiter: Column, plain_text: Column) -> Column:
     """array<struct(line, body)>: each record of a block with the line it ends on.
 
     Quoted line ends make a line depend on the records before it; they are summed within the block,
@@ -181,9 +186,9 @@ def numbered_records(before: Column, text: Column, delimiter: Column) -> Column:
         def shifted(r: Column, i: Column) -> Column:
             inside = extra_lines(F.slice(records, F.lit(1), i + 1))
             return F.struct((before + i + 1 + inside).cast("bigint").alias("line"), without_newline(r).alias("body"))
-        several = text.contains('"') & (line_ends(text) > F.size(records))
+        several = ~plain_text & text.contains('"') & (line_ends(text) > F.size(records))
         return F.when(several, F.transform(records, shifted)).otherwise(F.transform(records, plain))
-    return let(records_of(text, delimiter), number)
+    return let(records_of(text, delimiter, plain_text), number)
 
 
 def joined_fields(body: Column, fields: Column, delimiter: Column) -> Column:

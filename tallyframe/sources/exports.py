@@ -41,7 +41,7 @@ def _decoded(files: DataFrame) -> DataFrame:
     had_bom = F.hex(F.substring(content, 1, 3)) == UTF8_BOM
     data = F.when(had_bom, F.substring(content, 4, 2147483647)).otherwise(content)
     text = data.cast("string")
-    blank = F.length(F.regexp_replace(content.cast("string"), r"[ \t\n\r\x0b\f]", "")) == 0
+    blank = ~content.cast("string").rlike(r"[^ \t\n\r\x0b\f]")
     code = (F.when(blank, "empty_file")
             .when(F.contains(data, F.lit(bytearray(b"\x00"))), "binary_content")
             .when(~F.is_valid_utf8(text), "not_utf8"))
@@ -78,7 +78,7 @@ def _shape(files: DataFrame) -> DataFrame:
     )
     headed = _headed(headed)
     # Date cells are only cut out of the whole file where slash dates exist or the layout depends on them.
-    slashes = F.col("_text").contains("/") & F.col("_text").rlike(r"\d{1,2}/\d{1,2}/\d{4}")
+    slashes = F.col("_text").contains("/") & F.col("_text").rlike(r"/(?<=\d/)\d{1,2}/\d{4}")
     date_index = F.when(F.col("_long"), F.col("_cols.date")).otherwise(0)
     body = F.transform(nonblank(everything), delimited.without_newline)
     date_cells = F.filter(F.transform(F.slice(body, F.lit(2), F.greatest(F.size(body), F.lit(1))),
@@ -149,14 +149,14 @@ def parse_lines(files: DataFrame, spread: int | None = None) -> DataFrame:
     """
     shaped = _shape(files)
     usable = F.col("_code").isNull()
-    own = F.array(F.struct(F.lit(-1).alias("before"), F.lit("").alias("text")))
+    own = F.array(F.struct(F.lit(-1).alias("before"), F.lit("").alias("text"), F.lit(True).alias("plain")))
     blocks = F.when(usable, F.concat(own, delimited.numbered_blocks(F.col("_blocks")))).otherwise(own)
     meta = shaped.select(*_file_columns(), F.explode(blocks).alias("_b"))
     if spread:
         meta = meta.repartition(spread)
     is_file = F.col("_b.before") < 0
     numbered = F.when(is_file, F.array(F.struct(F.lit(0).cast("bigint").alias("line"), F.lit("").alias("body")))).otherwise(
-        delimited.numbered_records(F.col("_b.before"), F.col("_b.text"), F.col("delimiter")))
+        delimited.numbered_records(F.col("_b.before"), F.col("_b.text"), F.col("delimiter"), F.col("_b.plain")))
     rows = meta.select("*", is_file.alias("_file"), F.inline(numbered)).drop("_b")
     rows = rows.where(F.col("_file") | (F.col("line") != F.col("_header_line")))
     # Blank records are dropped before they are split; a filter on the fields would split twice.
