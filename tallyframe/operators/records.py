@@ -50,29 +50,49 @@ def previous_in(rows: DataFrame, keys: list[str], value: Column, order: str = "l
     )
 
 
+def settled(lines: DataFrame) -> DataFrame:
+    """Rows of files whose rows have met each other where they were read (`sources.plain`): no other row is needed to judge them."""
+    return lines.where(F.col("earlier").isNotNull())
+
+
+def unsettled(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("earlier").isNull()).drop("earlier", "differs")
+
+
+def _long_judged(rows: DataFrame, again: Column) -> DataFrame:
+    cost = F.col("cost.status")
+    reason = (
+        F.when(~F.col("width_ok"), "field_count_mismatch")
+        .when(again, "duplicate_row")
+        .when(F.col("period_start").isNull(), "invalid_date")
+        .when(cost == "empty", "missing_cost").when(cost == "invalid", "invalid_number").when(cost == "out_of_range", "out_of_range")
+    )
+    return (
+        rows.withColumn("reject_reason", reason)
+        .withColumn("reject_col", F.when(F.col("reject_reason") == "invalid_date", F.col("date_idx") + 1)
+                    .when(F.col("reject_reason").isin("missing_cost", "invalid_number", "out_of_range"), F.col("cost_idx") + 1))
+        .withColumn("conflict", F.lit(None).cast("boolean"))
+    )
+
+
+def classify_settled(lines: DataFrame) -> DataFrame:
+    """`classify_rows` of settled rows: each by itself."""
+    return _long_judged(data_lines(lines), F.col("earlier")).drop("earlier")
+
+
 def classify_rows(lines: DataFrame) -> DataFrame:
     """Data rows with `reject_reason` and `reject_col`, checks in the documented order.
 
     Long: field count, duplicate of any earlier row, date, cost. Wide: field count, date, repeat of the
     previous row of the same period; its cells are judged one by one afterwards.
     """
+    if "earlier" in lines.columns:
+        return classify_rows(unsettled(lines)).unionByName(classify_settled(settled(lines)), allowMissingColumns=True)
     rows = data_lines(lines)
     long_rows = rows.where(F.col("layout") == "long")
     # Repeated signatures, one short row each, are hashed task by task; the rows pass by unsorted, so sorting spills none of them.
     judged = long_rows.join(first_copies(long_rows).hint("shuffle_hash"), [*KEYS, "signature"], "left")
-    cost = F.col("cost.status")
-    long_reason = (
-        F.when(~F.col("width_ok"), "field_count_mismatch")
-        .when(F.col("line") > F.col("first_line"), "duplicate_row")
-        .when(F.col("period_start").isNull(), "invalid_date")
-        .when(cost == "empty", "missing_cost").when(cost == "invalid", "invalid_number").when(cost == "out_of_range", "out_of_range")
-    )
-    long_done = (
-        judged.withColumn("reject_reason", long_reason)
-        .withColumn("reject_col", F.when(F.col("reject_reason") == "invalid_date", F.col("date_idx") + 1)
-                    .when(F.col("reject_reason").isin("missing_cost", "invalid_number", "out_of_range"), F.col("cost_idx") + 1))
-        .withColumn("conflict", F.lit(None).cast("boolean")).drop("first_line")
-    )
+    long_done = _long_judged(judged, F.col("line") > F.col("first_line")).drop("first_line")
     wide_rows = rows.where(F.col("layout") == WIDE)
     comparable = F.col("width_ok") & F.col("period_start").isNotNull()
     # Only comparable rows see each other: the others sit in a group of their own line.
@@ -94,7 +114,7 @@ def judged(rows: DataFrame) -> DataFrame:
     then neither moved to its first copy nor sorted."""
     return rows.select(
         *KEYS, "line", "layout", "period_start", "reject_reason", "reject_col", "conflict", "cost", "currency",
-        F.col("quantity.status").alias("quantity_status"), "quantity_idx", "cells")
+        F.col("quantity.status").alias("quantity_status"), "quantity_idx", "cells", *[c for c in rows.columns if c == "differs"])
 
 
 def keyed_costs(lines: DataFrame) -> DataFrame:
@@ -148,17 +168,18 @@ def amounts(rows: DataFrame, file_facts: DataFrame) -> DataFrame:
 
 def rejections(rows: DataFrame) -> DataFrame:
     """Every rejected line or cell of judged rows: position and reason, never content. `scope` says which it is."""
-    by_line = rows.where(F.col("reject_reason").isNotNull()).select(
-        *KEYS, "line", F.col("reject_reason").alias("reason"), F.col("reject_col").cast("int").alias("col"),
-        # An unreadable cost counts as a rejected line and as a rejected cell.
-        F.lit(1).alias("lines"), F.when(F.col("reject_reason").isin("invalid_number", "out_of_range"), 1).otherwise(0).alias("cells"))
-    quantities = accepted_long(rows).where(F.col("quantity_status").isin("invalid", "out_of_range")).select(
-        *KEYS, "line", F.lit("invalid_number").alias("reason"), (F.col("quantity_idx") + 1).cast("int").alias("col"),
-        F.lit(0).alias("lines"), F.lit(1).alias("cells"))
-    bad = wide_cells(rows).where(F.col("status").isin("invalid", "out_of_range")).select(
-        *KEYS, "line", F.when(F.col("status") == "invalid", "invalid_number").otherwise("out_of_range").alias("reason"),
-        (F.col("idx") + 1).cast("int").alias("col"), F.lit(0).alias("lines"), F.lit(1).alias("cells"))
-    return by_line.unionByName(quantities).unionByName(bad)
+    reason, quantity = F.col("reject_reason"), F.col("quantity_status").isin("invalid", "out_of_range")
+    entry = lambda why, col, lines, cells: F.struct(
+        why.alias("reason"), col.cast("int").alias("col"), F.lit(lines).alias("lines"), cells.alias("cells"))
+    one, none = F.lit(1), F.lit(0)
+    # An unreadable cost counts as a rejected line and as a rejected cell.
+    line = F.when(reason.isNotNull(), F.array(entry(reason, F.col("reject_col"), 1, F.when(reason.isin("invalid_number", "out_of_range"), one).otherwise(none))))
+    amount = F.when((F.col("layout") == "long") & quantity, F.array(entry(F.lit("invalid_number"), F.col("quantity_idx") + 1, 0, one)))
+    bad = lambda c: ~c["total"] & c["cell"]["status"].isin("invalid", "out_of_range")
+    values = F.when((F.col("layout") == WIDE) & F.exists("cells", bad), F.transform(F.filter("cells", bad), lambda c: entry(
+        F.when(c["cell"]["status"] == "invalid", "invalid_number").otherwise("out_of_range"), c["idx"] + 1, 0, one)))
+    some = reason.isNotNull() | ((F.col("layout") == "long") & quantity) | ((F.col("layout") == WIDE) & F.exists("cells", bad))
+    return rows.where(some).select(*KEYS, "line", F.inline(F.coalesce(line, amount, values))).select(*KEYS, "line", "reason", "col", "lines", "cells")
 
 
 def sample_rejections(rejected: DataFrame, n: int = 50) -> DataFrame:
@@ -184,6 +205,11 @@ def conflicting_costs(keyed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
+def differing(rows: DataFrame) -> DataFrame:
+    """The same of judged rows that were settled where they were read."""
+    return rows.where(F.col("reject_reason").isNull() & F.col("differs")).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("count"))
+
+
 def conflicting_periods(rows: DataFrame) -> DataFrame:
     """Wide: periods that appear again with different values."""
     return rows.where(F.col("conflict")).groupBy(*KEYS).agg(F.count_distinct("period_start").alias("count"))

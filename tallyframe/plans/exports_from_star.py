@@ -21,9 +21,13 @@ def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
         table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+        # What a line is written from is shuffled, once, and not the lines.
+        .select(F.floor(F.col("l_orderkey") / ORDERS_PER_FILE).alias("chunk"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"), "l_partkey", "l_suppkey", "p_brand", "p_name",
+                "o_orderpriority", "l_shipdate", "l_extendedprice", (F.col("l_tax") == 0).alias("untaxed"), "l_returnflag", "l_quantity")
+        .repartition("chunk")
     )
-    cost = F.when((F.col("l_tax") == 0) & (F.col("l_returnflag") == "N"), "").when(
-        (F.col("l_tax") == 0) & (F.col("l_returnflag") == "R"), "N/A").otherwise(
+    cost = F.when(F.col("untaxed") & (F.col("l_returnflag") == "N"), "").when(
+        F.col("untaxed") & (F.col("l_returnflag") == "R"), "N/A").otherwise(
         F.concat(F.lit('"$'), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), F.lit('"')))
     team = F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.concat(F.lit('"Team ""'), "o_orderpriority", F.lit('"""')))
     line = F.concat_ws(
@@ -31,9 +35,7 @@ def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")), cost, F.lit("usd"),
         F.col("l_quantity").cast("int").cast("string"), F.lit("Hrs"), team)
     copies = F.explode(F.sequence(F.lit(1), F.when(F.col("l_quantity") == 10, 2).otherwise(1)))
-    numbered = rows.select(
-        F.floor(F.col("l_orderkey") / ORDERS_PER_FILE).alias("chunk"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"),
-        "l_partkey", "l_suppkey", line.alias("text"), copies.alias("copy"))
+    numbered = rows.select("chunk", "n", "l_partkey", "l_suppkey", line.alias("text"), copies.alias("copy"))
     body = numbered.groupBy("chunk").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("n", "l_partkey", "l_suppkey", "copy", "text"))), lambda r: r["text"]), "\n").alias("body"))
     return body.select(

@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     # The JVM does not compile methods above this many bytes; wide projections (parsing a line into
     # thirty typed columns) then run much faster split into small generated methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A row handed to Python may be a whole file or a long document; a worker holds a few batches at once.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 

@@ -193,8 +193,8 @@ def numbered_records(before: Column, text: Column, delimiter: Column, plain_text
 
 def joined_fields(body: Column, fields: Column, delimiter: Column) -> Column:
     """Trimmed fields joined by NUL, which cannot occur in accepted text. A record without quotes or
-    padding only has its delimiters replaced."""
+    padding only has its delimiters replaced (not by `translate`, which drops characters that become NUL)."""
     ws = "".join(ch for ch in WHITESPACE if ch != "\t")
     plain = ~body.contains('"') & ~body.rlike(rf"[{ws}](?:[,;\t|]|\z)|(?:\A|[,;\t|])[{ws}]|(?:\A|\t)\t|\t\z")
     return F.when(plain, by_delimiter(
-        delimiter, lambda d: F.translate(body, d, "\x00"))).otherwise(F.array_join(F.transform(fields, strip), "\x00"))
+        delimiter, lambda d: F.replace(body, F.lit(d), F.lit("\x00")))).otherwise(F.array_join(F.transform(fields, strip), "\x00"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.functions import cells
 from tallyframe.functions.cells import BLANK_LABEL, clean_label, is_true, is_unallocated_label, money, strip
 from tallyframe.schema import DIMENSIONS, KEYS, LONG_DIMENSIONS, MAX_COLUMNS, MAX_FIELD_CHARS, OWNERSHIP_DIMENSIONS
 from tallyframe.session import cut
-from tallyframe.sources import delimited, layouts, ranges
+from tallyframe.sources import delimited, layouts, plain, ranges
 from tallyframe.sources.landing import DELIMITERS, UTF8_BOM
 
 # ---- fixed values: why a file cannot be analysed -------------------------------------------------------
@@ -45,7 +46,7 @@ def _decoded(files: DataFrame) -> DataFrame:
     code = (F.when(blank, "empty_file")
             .when(F.contains(data, F.lit(bytearray(b"\x00"))), "binary_content")
             .when(~F.is_valid_utf8(text), "not_utf8"))
-    return files.select(*KEYS, "path", had_bom.alias("had_bom"), code.alias("_code"),
+    return files.select(*KEYS, "path", *[c for c in files.columns if c == "_whole"], had_bom.alias("had_bom"), code.alias("_code"),
                         F.when(code.isNull(), text).alias("_text"))
 
 
@@ -165,6 +166,16 @@ def parse_lines(files: DataFrame, spread: int | None = None) -> DataFrame:
     return _typed(rows, FACTS)
 
 
+def parse_plain(files: DataFrame, without: list[str] | None = None) -> DataFrame:
+    """Rows of plain long files (`sources.plain`) as in the `line` table, but for columns `without`, with `earlier` and `differs`.
+    A file that is not plain is a row of kind "other" with its contents, for `parse_lines`."""
+    head = F.substring_index(F.col("content").cast("string"), "\n", plain.HEAD_LINES).cast("binary")
+    shaped = _shape(files.select(*KEYS, "path", F.col("content").alias("_whole"), head.alias("content")))
+    schema = plain.schema(without)
+    about = shaped.select(*_file_columns(), "_header", "_whole").drop("had_bom", "fatal_message", "_width", "_columns")
+    return about.mapInArrow(plain.line_batches(to_arrow_schema(schema)), schema)
+
+
 def parse_large(lines: DataFrame, whole_profile: bool = False) -> DataFrame:
     """The `line` table of files read line by line (`ranges.physical_lines`), of any size and number of lines.
 
