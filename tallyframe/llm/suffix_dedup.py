@@ -7,7 +7,8 @@ neighbouring windows that share one form a run. Three steps find every repeated
 1. Runs equal as a whole repeat all their windows; only the first such run goes on (`occurrences`).
    Runs whose anchor no other content has are free of repeats.
 2. What is left, the first run of each content whose anchor other contents share, goes to the
-   anchor's bucket. There the runs' texts are put together, their suffixes sorted to a bounded depth, and
+   anchor's bucket. There each text is cut down to the windows whose hash another window has, for no other can be
+   repeated. What is left is put together, its suffixes sorted to a bounded depth, and
    the Burrows-Wheeler transform is extended backwards, breadth first: from the intervals of all strings of
    length l come those of length l + 1, and every new boundary between intervals is a common prefix of
    length l. At the minimum length expansion stops; suffixes without a boundary between them share at
@@ -35,8 +36,8 @@ from pyspark.sql import types as T
 from .common import append_column, cut, partitions, read, utf8, with_hint
 from .occurrences import HOT, NULL_ID, REPEAT, SHARED, SPREAD, by_bucket, document_bucket, keyed, marks, mix, pack, per_document, ranked, split
 
-#: Bytes of a repeat and of an anchor; bytes handled at once when anchors are sought, and by one transform.
-MIN_LENGTH, ANCHOR, PIECE, TRANSFORM = 100, 32, 2 << 20, 1 << 20
+#: Bytes of a repeat and of an anchor; bytes handled at once when anchors are sought (their numbers stay in a core's cache), and by one transform.
+MIN_LENGTH, ANCHOR, PIECE, TRANSFORM = 100, 32, 1 << 19, 1 << 20
 _WIDTH = MIN_LENGTH - ANCHOR + 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix(np.arange(257, 513))
@@ -149,8 +150,48 @@ def bounded_boundaries(bwt: np.ndarray, limit: int) -> np.ndarray:
     return edge[:n]
 
 
+def _hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each `length` bytes, put together from those of powers of two."""
+    n = len(data) - length + 1
+    found, done, span, block = np.zeros(n, np.uint64), 0, 1, _BYTES[data]
+    while True:
+        if length & span:
+            found = found * np.uint64(pow(int(_BASE), span, 1 << 64)) + block[done:done + n]
+            done += span
+        if span * 2 > length:
+            return found
+        block = block[:-span] * np.uint64(pow(int(_BASE), span, 1 << 64)) + block[span:]
+        span *= 2
+
+
+def _alike(texts: list[bytes], windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, last window) of the texts with windows whose hash another window has. No other window can equal one."""
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(texts)), windows)
+    window = _numbered(text, len(texts))
+    hashes = _hashes(np.frombuffer(b"".join(texts), np.uint8), length)[starts[text] + window]
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    some = np.zeros(len(hashes), bool)
+    some[order[1:][same]] = some[order[:-1][same]] = True
+    text, window = text[some], window[some]
+    new = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])) if len(text) else np.zeros(0, bool))
+    return text[new], window[new], window[np.append(new[1:], len(text)) - 1] if len(text) else window
+
+
 def repeated(texts: list[bytes], windows: np.ndarray, place: np.ndarray, length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(text, window) of the windows that an earlier one equals. place: of each text's first window, to be compared."""
+    whole, first, last = _alike(texts, windows, length)
+    if not len(whole):
+        return whole, first
+    texts = [texts[i][a:b + length] for i, a, b in zip(whole.tolist(), first.tolist(), last.tolist(), strict=True)]
+    text, window = _transformed(texts, last - first + 1, place[whole] + first, length)
+    return whole[text], window + first[text]
+
+
+def _transformed(texts: list[bytes], windows: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by suffix order and transform, exactly."""
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.cumsum(sizes) - sizes
     joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
